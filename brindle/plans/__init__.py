@@ -1 +1 @@
-
+"""Index definitions, the query language and the command surface."""
