@@ -18,7 +18,6 @@ from ..plans.catalog import IndexDef
 from .vector import distance
 
 
-
 @dataclass
 class Options:
     verbatim: bool = False
@@ -103,40 +102,29 @@ class Retrieval:
         return total
 
     def positions(self, node: q.Node, name: str) -> Column:
-        """0-based places of a term in a field."""
-        tok = F.col(f"__tok_{name}")
-        hit = self.hit(node, name)
-        more = self.extra(node, name)
-        other = F.col(more[0]) if more else None
-        every = F.when(F.size(tok) > 0, F.sequence(F.lit(0), F.size(tok) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda i: hit(F.get(tok, i)) | (F.get(other, i) == more[1] if more else F.lit(False)))
+        """0-based places of a term in a field, ascending. The tokens are read once, however many places there are."""
+        hit, more = self.hit(node, name), self.extra(node, name)
+        if more:
+            pairs = F.arrays_zip(F.col(f"__tok_{name}").alias("t"), F.col(more[0]).alias("s"))
+            found = F.transform(pairs, lambda x, i: F.when(hit(x["t"]) | (x["s"] == more[1]), i))
+            return F.filter(found, lambda i: i.isNotNull())
+        return places(F.col(f"__tok_{name}"), hit, 0)
 
     def phrase(self, node: q.Phrase) -> Column:
+        """Whether one field has the terms at places that follow each other: each term's places, moved back, share one."""
         leaves = node.children
-        names = self.fields_of(leaves[0])
         out = F.lit(False)
-        for name in names:
+        for name in self.fields_of(leaves[0]):
             tok = F.col(f"__tok_{name}")
-            starts = F.when(F.size(tok) >= len(leaves), F.sequence(F.lit(0), F.size(tok) - len(leaves))).otherwise(F.array().cast("array<int>"))
-
-            at = self.run_at(leaves, tok, name)
-
-            # tokens first: most rows fail there and never look at places
-            here = F.lit(True)
-            for leaf in leaves:
+            here, starts = F.lit(True), None
+            for k, leaf in enumerate(leaves):
+                # tokens first: most rows fail there and never look at places
                 here = here & self.matches(leaf, name)
-            out = out | (here & F.exists(starts, at))
+                mine = places(tok, self.hit(leaf, name), k)
+                starts = mine if starts is None else F.array_intersect(starts, mine)
+            out = out | (here & (F.size(starts) > 0))
         return out
 
-    def run_at(self, leaves: list[q.Node], tok: Column, name: str):
-        def at(i: Column) -> Column:
-            ok = F.lit(True)
-            for k, leaf in enumerate(leaves):
-                ok = ok & self.hit(leaf, name)(F.get(tok, i + k))
-            return ok
-
-        return at
-
     def near(self, node: q.Phrase, slop: int, inorder: bool) -> Column:
         """Whether one field has all terms within a span with `slop` other places at most, and in order if asked."""
         leaves = [c for c in node.children if isinstance(c, (q.Token, q.Prefix, q.Fuzzy, q.WildcardQuery))]
@@ -244,18 +232,35 @@ def like(wild: str):
     return lambda t: t.like(pattern)
 
 
+def places(tok: Column, hit, back: int) -> Column:
+    """The places where a token matches, moved back by `back`."""
+    return F.filter(F.transform(tok, lambda t, i: F.when(hit(t), i - back)), lambda i: i.isNotNull())
+
+
+def let(lists: list[Column], test) -> Column:
+    """test(names) over arrays that are computed once: inside a lambda an expression would be computed for each element."""
+    return F.exists(F.array(F.struct(*[x.alias(f"p{i}") for i, x in enumerate(lists)])), lambda s: test([s[f"p{i}"] for i in range(len(lists))]))
+
+
 def in_order(lists: list[Column], most: int) -> Column:
     """Whether places p1 < p2 < ... can be taken, one of each list, with the last at most `most` after the first."""
-    rest = F.array(*lists[1:])
-    end = lambda p: F.aggregate(rest, p, lambda acc, ps: F.array_min(F.filter(ps, lambda x: x > acc)))
-    return F.exists(lists[0], lambda p: F.coalesce(end(p) - p <= most, F.lit(False)))
+
+    def test(ps: list[Column]) -> Column:
+        end = lambda p: F.aggregate(F.array(*ps[1:]), p, lambda acc, x: F.array_min(F.filter(x, lambda i: i > acc)))
+        return F.exists(ps[0], lambda p: F.coalesce(end(p) - p <= most, F.lit(False)))
+
+    return let(lists, test)
 
 
 def in_span(lists: list[Column], most: int) -> Column:
     """Whether places, one of each list in any order, lie within `most` of each other."""
-    every, far = F.array(*lists), F.lit(1 << 30)
-    top = lambda m: F.aggregate(every, m, lambda acc, ps: F.greatest(acc, F.coalesce(F.array_min(F.filter(ps, lambda x: x >= m)), far)))
-    return F.exists(F.flatten(every), lambda m: top(m) - m <= most)
+
+    def test(ps: list[Column]) -> Column:
+        far = F.lit(1 << 30)
+        top = lambda m: F.aggregate(F.array(*ps), m, lambda acc, x: F.greatest(acc, F.coalesce(F.array_min(F.filter(x, lambda i: i >= m)), far)))
+        return F.exists(F.flatten(F.array(*ps)), lambda m: top(m) - m <= most)
+
+    return let(lists, test)
 
 
 def like_pattern(wild: str) -> str:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analysis import SEPARATORS, STOPWORDS
@@ -31,37 +31,56 @@ def query(sql: str | None = None):
     return put
 
 
-def engine(spark: SparkSession, d: str) -> Engine:
-    """An engine with an index on each table; timestamps become epoch seconds where they are read."""
+def seconds(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+
+
+#: the tables hold no places: these are made from numbers
+PLACE = lambda: F.concat((F.col("s_suppkey") % 360 - 180).cast("string"), F.lit(","), (F.col("s_nationkey") * 3 - 40).cast("string"))
+SHAPE = lambda: F.concat(F.lit("POINT("), (F.col("s_suppkey") % 50).cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(")"))
+VECTOR = "embedding VECTOR FLAT 6 TYPE FLOAT32 DIM 64 DISTANCE_METRIC"
+#: collection -> (its rows, from a function that reads a table; the indexes on it)
+COLLECTIONS: dict[str, tuple[Callable, dict[str, str]]] = {
+    "lineitem": (
+        lambda read: read("lineitem").withColumn("__key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).withColumn("ship_ts", seconds("l_shipdate")),
+        {"lineitem": "l_returnflag TAG l_linestatus TAG l_quantity NUMERIC l_extendedprice NUMERIC l_discount NUMERIC l_tax NUMERIC ship_ts NUMERIC SORTABLE"},
+    ),
+    "orders": (
+        lambda read: read("orders").withColumn("__key", F.col("o_orderkey")).withColumn("order_ts", seconds("o_orderdate")),
+        {"orders": "o_orderstatus TAG o_orderpriority TAG SEPARATOR ; o_totalprice NUMERIC SORTABLE order_ts NUMERIC"},
+    ),
+    "part": (lambda read: read("part").withColumn("__key", F.col("p_partkey")), {"part": "p_name TEXT NOSTEM p_brand TAG p_type TAG p_size NUMERIC p_retailprice NUMERIC"}),
+    "customer": (lambda read: read("customer").withColumn("__key", F.col("c_custkey")), {"customer": "c_mktsegment TAG c_acctbal NUMERIC c_name TEXT NOSTEM"}),
+    "supplier": (
+        lambda read: read("supplier").withColumn("__key", F.col("s_suppkey")).withColumn("place", PLACE()).withColumn("shape", SHAPE()),
+        {"supplier": "s_name TEXT NOSTEM s_acctbal NUMERIC place GEO shape GEOSHAPE FLAT"},
+    ),
+    "events": (
+        lambda read: with_json(read("events"), "props", {"k": ("$.k", "double")}).withColumn("__key", F.col("event_id")).withColumn("at", seconds("ts")),
+        {"events": "event_type TAG value NUMERIC k NUMERIC at NUMERIC"},
+    ),
+    "documents": (lambda read: read("documents").withColumn("__key", F.col("doc_id")), {"documents": "text TEXT NOSTEM lang TAG source TAG n_chars NUMERIC", "stemmed": "text TEXT lang TAG"}),
+    "embeddings": (
+        lambda read: read("embeddings").withColumn("__key", F.col("vec_id")),
+        {"embeddings": f"{VECTOR} L2 label NUMERIC", "by_ip": f"{VECTOR} IP label NUMERIC", "by_cosine": f"{VECTOR} COSINE label NUMERIC"},
+    ),
+    "texts": (
+        lambda read: read("documents").join(read("embeddings"), F.col("doc_id") == F.col("vec_id")).withColumn("__key", F.col("doc_id")),
+        {"texts": f"text TEXT NOSTEM lang TAG {VECTOR} COSINE label NUMERIC"},
+    ),
+    "labelled": (
+        lambda read: read("documents").select("doc_id", "lang", "n_chars").join(read("labels"), "doc_id", "left").withColumn("__key", F.col("doc_id")),
+        {"labelled": "lang TAG n_chars NUMERIC quality NUMERIC INDEXMISSING toxic NUMERIC INDEXMISSING"},
+    ),
+}
+
+
+def engine(spark: SparkSession, d: str, index: str) -> Engine:
+    """An engine with one index and its collection; timestamps become epoch seconds where they are read."""
     e = Engine(spark)
-    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
-    e.register("lineitem", read("lineitem").withColumn("__key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).withColumn("ship_ts", seconds("l_shipdate")))
-    e.register("orders", read("orders").withColumn("__key", F.col("o_orderkey")).withColumn("order_ts", seconds("o_orderdate")))
-    e.register("part", read("part").withColumn("__key", F.col("p_partkey")))
-    e.register("customer", read("customer").withColumn("__key", F.col("c_custkey")))
-    # the tables hold no places: these are made from numbers
-    place = F.concat((F.col("s_suppkey") % 360 - 180).cast("string"), F.lit(","), (F.col("s_nationkey") * 3 - 40).cast("string"))
-    e.register("supplier", read("supplier").withColumn("__key", F.col("s_suppkey")).withColumn("place", place).withColumn("shape", F.concat(F.lit("POINT("), (F.col("s_suppkey") % 50).cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(")"))))
-    events = with_json(read("events"), "props", {"k": ("$.k", "double")})
-    e.register("events", events.withColumn("__key", F.col("event_id")).withColumn("at", seconds("ts")))
-    e.register("documents", read("documents").withColumn("__key", F.col("doc_id")))
-    e.register("embeddings", read("embeddings").withColumn("__key", F.col("vec_id")))
-    e.register("texts", read("documents").join(read("embeddings"), F.col("doc_id") == F.col("vec_id")).withColumn("__key", F.col("doc_id")))
-    e.register("labelled", read("documents").select("doc_id", "lang", "n_chars").join(read("labels"), "doc_id", "left").withColumn("__key", F.col("doc_id")))
-    make = lambda name, *schema: e.execute("FT.CREATE", name, "ON", name, "SCHEMA", *" ".join(schema).split())
-    make("lineitem", "l_returnflag TAG l_linestatus TAG l_quantity NUMERIC l_extendedprice NUMERIC l_discount NUMERIC l_tax NUMERIC ship_ts NUMERIC SORTABLE")
-    make("orders", "o_orderstatus TAG o_orderpriority TAG SEPARATOR ; o_totalprice NUMERIC SORTABLE order_ts NUMERIC")
-    make("part", "p_name TEXT NOSTEM p_brand TAG p_type TAG p_size NUMERIC p_retailprice NUMERIC")
-    make("customer", "c_mktsegment TAG c_acctbal NUMERIC c_name TEXT NOSTEM")
-    make("supplier", "s_name TEXT NOSTEM s_acctbal NUMERIC place GEO shape GEOSHAPE FLAT")
-    make("events", "event_type TAG value NUMERIC k NUMERIC at NUMERIC")
-    make("documents", "text TEXT NOSTEM lang TAG source TAG n_chars NUMERIC")
-    make("embeddings", "embedding VECTOR FLAT 6 TYPE FLOAT32 DIM 64 DISTANCE_METRIC L2 label NUMERIC")
-    make("texts", "text TEXT NOSTEM lang TAG embedding VECTOR FLAT 6 TYPE FLOAT32 DIM 64 DISTANCE_METRIC COSINE label NUMERIC")
-    make("labelled", "lang TAG n_chars NUMERIC quality NUMERIC INDEXMISSING toxic NUMERIC INDEXMISSING")
-    e.execute("FT.CREATE", "by_ip", "ON", "embeddings", "SCHEMA", *"embedding VECTOR FLAT 6 TYPE FLOAT32 DIM 64 DISTANCE_METRIC IP label NUMERIC".split())
-    e.execute("FT.CREATE", "by_cosine", "ON", "embeddings", "SCHEMA", *"embedding VECTOR FLAT 6 TYPE FLOAT32 DIM 64 DISTANCE_METRIC COSINE label NUMERIC".split())
+    name, (rows, indexes) = next((k, v) for k, v in COLLECTIONS.items() if index in v[1])
+    e.register(name, rows(lambda t: spark.read.parquet(f"{d}/{t}.parquet")))
+    e.execute("FT.CREATE", index, "ON", name, "SCHEMA", *indexes[index].split())
     return e
 
 
@@ -70,7 +89,7 @@ def rounded(df: DataFrame, n: int, *columns: str) -> DataFrame:
 
 
 def run(spark, d, *words) -> DataFrame:
-    return engine(spark, d).execute(*words)
+    return engine(spark, d, words[1]).execute(*words)
 
 
 #: the vector that nearest-neighbour queries ask for: the same 64 numbers in Spark and in SQL
@@ -310,9 +329,7 @@ def search_sortby_filter(spark, d):
 
 @query()
 def search_stemmed(spark, d):
-    e = engine(spark, d)
-    e.execute("FT.CREATE", "stemmed", "ON", "documents", "SCHEMA", "text", "TEXT", "lang", "TAG")
-    return e.execute("FT.AGGREGATE", "stemmed", "@lang:{en} heating", "LOAD", 1, "@doc_id").select("doc_id")
+    return run(spark, d, "FT.AGGREGATE", "stemmed", "@lang:{en} heating", "LOAD", 1, "@doc_id").select("doc_id")
 
 
 # -- scores ------------------------------------------------------------------------------------------------------------
@@ -411,7 +428,7 @@ def tagvals(spark, d):
 
 @query(PARTS_SQL + "SELECT p_partkey FROM p WHERE list_contains(t, 'widget') OR list_contains(t, 'ring')")
 def synonyms_expand(spark, d):
-    e = engine(spark, d)
+    e = engine(spark, d, "part")
     e.execute("FT.SYNUPDATE", "part", "g1", "widget", "ring")
     return e.execute("FT.AGGREGATE", "part", "widget").select("p_partkey")
 
@@ -434,14 +451,14 @@ def spellcheck(spark, d):
 
 @query("SELECT c_name AS string, round(n / sqrt(1 + abs(length(c_name) - 16)), 6) AS score FROM (SELECT c_name, c_acctbal AS n FROM customer) WHERE starts_with(lower(c_name), 'customer#0000001') AND lower(c_name) <> 'customer#0000001' ORDER BY score DESC, string LIMIT 5")
 def suggest_prefix(spark, d):
-    e = engine(spark, d)
+    e = engine(spark, d, "customer")
     e.catalog.suggestions["names"] = e.collections["customer"].select(F.col("c_name").alias("string"), F.col("c_acctbal").alias("score"), F.lit(None).cast("string").alias("payload"))
     return rounded(e.execute("FT.SUGGET", "names", "customer#0000001", "WITHSCORES"), 6, "score")
 
 
 @query("SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest(" + toks_sql("text") + ") AS term FROM documents) GROUP BY 1")
 def postings_vocabulary(spark, d):
-    table = P.postings(engine(spark, d).catalog.get("documents"))
+    table = P.postings(engine(spark, d, "documents").catalog.get("documents"))
     return table.groupBy("term").agg(F.count("*").alias("documents"), F.sum("frequency").cast("long").alias("occurrences"))
 
 
