@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, discard, stored
+from .common import BROADCAST_BYTES, discard, mixed, stored
 from .lm_scoring import expand, expand_sorted, squeeze, squeeze_sorted
 
 LENGTH = 200
@@ -90,7 +90,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     lo, hi, anchor, text = at[first], at[last], anchor[first], text[first]
     size = hi + LENGTH - lo
     context = _pair(_pair(h128[lo], h128[lo + (size - 128) // 2]), _pair(h128[hi + LENGTH - 128], (size * 512 + (anchor - lo)).astype(np.uint64)))
-    return gram[anchor], context, text, lo - starts[text], hi - starts[text]
+    # anchors are the smallest of many hashes: mixed again, they spread evenly over the buckets
+    return mixed(gram[anchor]), context, text, lo - starts[text], hi - starts[text]
 
 
 def _slices(texts: list[bytes]):
