@@ -39,17 +39,18 @@ def doc_stats(index: IndexDef) -> DataFrame:
 
 
 def write_postings(index: IndexDef, path: str, buckets: int = BUCKETS) -> None:
-    """Partitioned by a hash of the term, so a query on a term reads one partition."""
-    table = postings(index).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    table.repartition(buckets, "bucket", F.pmod(F.xxhash64("__key"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Partitioned by a hash of the term, so a query on a term reads one partition. The number of buckets is kept with them."""
+    table = postings(index).withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
+    table.repartition(buckets, "bucket", F.pmod(F.xxhash64("__key"), F.lit(4))).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/postings")
     doc_stats(index).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read_terms(spark: SparkSession, path: str, terms: list[str], buckets: int = BUCKETS) -> DataFrame:
+def read_terms(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """The postings of a few terms; the partitions of other terms are pruned."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct()
-    ids = [r["b"] for r in wanted.collect()]  # one a query term
-    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(ids) & F.col("term").isin(terms))
+    here = F.lit(False)
+    for t in terms:
+        here = here | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.col("buckets")))
+    return spark.read.parquet(f"{path}/postings").where(here & F.col("term").isin(terms))
 
 
 def bm25_any(spark: SparkSession, path: str, terms: list[str], every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -241,7 +241,8 @@ class Engine:
         if index.score_field:
             values[index.score_field] = score
         while w:
-            values[w.text()] = w.next()
+            name = w.text()  # before the value: the right side of an assignment runs first
+            values[name] = w.next()
         df = index.df
         if not keep and df.where(F.col(index.key) == key).limit(1).count():
             raise CommandError("the document exists")

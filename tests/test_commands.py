@@ -26,7 +26,7 @@ def keys(df):
     [
         ("*", "abcde"), ("apple", "cde"), ('"apple"', "cd"), ("ap*", "cde"), ("*nan*", "b"), ("%lemn%", "a"), ("apple -pie", "de"), ("apple | lemon", "acde"), ("@color:{red}", "ce"),
         ("@color:{red | yellow}", "abce"), ("@sweetness:[4 (9.5]", "ab"), ("-@sweetness:[4 +inf]", "cd"), ("ismissing(@origin)", "a"), ('"apple pie"', "c"), ('"pie apple"', ""),
-        ("(red pie)=>{$slop:0; $inorder:true}", ""), ("(red pie)=>{$slop:1; $inorder:true}", "c"), ("~lemon", "abcde"), ("run", "e"),
+        ("(red pie)=>{$slop:0; $inorder:true}", ""), ("(red pie)=>{$slop:1; $inorder:true}", "c"), ("~lemon", "abcde"), ("run", ""), ("runs", "e"),
     ],
 )
 def test_retrieval(fruits, text, want):
