@@ -12,7 +12,8 @@ With 64 values in 16 bands of 4 a pair at the threshold 0.85 is missed with prob
 24 bands, 3e-6.
 
 Defined results. Null, empty or blank text: an empty set, linked with nothing. Rows with one doc_id are one node. Null
-doc_id: linked with nothing, component null, kept.
+doc_id: linked with nothing, component null, kept. drop_near_duplicates, which has to leave one row of a group, takes
+distinct (doc_id, text) as nodes instead.
 """
 
 from __future__ import annotations
@@ -200,9 +201,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, permutat
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 48, rows: int = 4) -> DataFrame:
-    """The documents of which each group keeps one, with the columns they came with."""
-    gone = stored(near_duplicates(docs, width, percent, permutations, rows).where("not kept").select("doc_id").distinct(), "nd-gone")
-    return docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    """The documents of which each group keeps one, with the columns they came with.
+
+    A node here is a distinct (doc_id, text), so rows of a null doc_id have groups too, and other texts under a doc_id that
+    has gone stay. Equal rows keep the one with the smallest columns in their order; a group keeps its smallest doc_id, a null one last.
+    """
+    names = docs.columns
+    nodes = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    twice = stored(nodes.groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"), "nd-twice")
+    if twice.limit(1).count():
+        few = maybe_broadcast(twice, 16)
+        one = nodes.join(few, "__row", "left_semi").groupBy("__row", "doc_id", F.coalesce("text", F.lit(""))).agg(F.min(F.struct(*names)).alias("one"))
+        nodes = stored(nodes.join(few, "__row", "left_anti").select(*names, "__row").unionByName(one.select("one.*", "__row")), "nd-rows")
+    found = near_duplicates(nodes, width, percent, permutations, rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    found = stored(found.join(nodes.select("__row", "doc_id"), "__row"), "nd-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))
+    stay = found.groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    gone = stored(found.select("__row").join(stay, "__row", "left_anti"), "nd-gone")
+    return nodes.join(maybe_broadcast(gone, 16), "__row", "left_anti").select(*names)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,6 +279,35 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
         assert b"".join(bytes(p.ids) for p in sorted(by_doc[i], key=lambda p: p.start)) == want
 
 
+def test_pipeline_keeps_one_row_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    stop = "the of and to in is that it was for".split()
+    make = lambda: " ".join(rng.choice(stop) if rng.random() < 0.3 else f"word{rng.randrange(3000)}" for _ in range(120))
+    texts = [make() for _ in range(8)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    unnamed, other = make(), make()
+    rows += [(20, texts[0], "en", "s", 1), (3, other, "en", "s", 2), (None, texts[1], "en", "s", 3)]
+    rows += [(None, t, lang, "s", 4) for t in (unnamed, unnamed + " end", unnamed.replace(" ", "  ", 3)) for lang in ("en", "de")]
+    df = spark.createDataFrame(rows, DDL)
+    df.union(df).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    by_doc = defaultdict(list)
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        by_doc[p.doc_id].append((p.doc_tokens, p.start, p.sequence_id, p.offset, bytes(p.ids)))
+    enc = encoder(packing.default_path())
+    assert set(by_doc) == {*range(8), None}
+    for i, pieces in by_doc.items():
+        want = [other, texts[3]] if i == 3 else [t for t in (unnamed, unnamed + " end", unnamed.replace(" ", "  ", 3))] if i is None else [texts[i]]
+        sizes = [len(enc.encode(t)) // 4 + 1 for t in want]
+        # one row for each text, all of it; of the three near texts without a doc_id, one
+        assert sum(len(p[-1]) // 4 for p in pieces) in sizes if i is None else sum(len(p[-1]) // 4 for p in pieces) == sum(sizes), i
+    kept = near_duplicates.drop_near_duplicates(df.union(df).repartition(3)).collect()
+    again = near_duplicates.drop_near_duplicates(df.union(df).repartition(5)).collect()
+    assert len(kept) == 10 and Counter(map(tuple, kept)) == Counter(map(tuple, again))
+    assert [r.lang for r in kept if r.doc_id is None] == ["de"]
+
+
 def test_registered_queries_are_whole(spark, sf_dir):
     """Each query's rows against the same figures by the libraries, over whole tables."""
     from brindle.llm.queries import QUERIES
