@@ -317,7 +317,9 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = runs.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
     decided = stored(_asked(runs, size, _decide), "sd-whole")
     discard(runs)
-    todo = decided.where("todo is not null").groupBy("doc_key").agg(F.first("todo").alias("todo"))
+    # copies of a row in several batches may stand for different runs of it: all their intervals are asked about
+    lists = decided.where("todo is not null").groupBy("doc_key").agg(F.collect_set("todo").alias("lists"))
+    todo = lists.select("doc_key", F.aggregate("lists", F.lit(b""), lambda x, y: F.concat(x, y)).alias("todo"))
     edges = base.select("doc_key", "text").join(_sized(todo, "todo"), "doc_key")
     windows = stored(edges.mapInArrow(_collect_windows(BATCH_BYTES), RUNS_DDL), "sd-windows")
     size = windows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0

@@ -123,6 +123,29 @@ def test_repeats_equal_brute_force(spark):
         assert got[i] == (kept, n, spans), i
 
 
+def test_repeats_of_rows_in_several_batches_meet_all_their_edges(spark, monkeypatch):
+    """As on a cluster, the batches reach the buckets in different orders, so the copies of a row stand for different runs."""
+    rng = random.Random(14)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    twice = make(6000)
+    texts = [make(150) + twice[k : k + 210] + make(150) for k in range(100, 5700, 400)]
+    answer = suffix_dedup._answer
+
+    def in_any_order(table):
+        k = table.column("bucket")[0].as_py()
+        return answer(table.sort_by([("batch", "descending" if k % 2 else "ascending")]))
+
+    monkeypatch.setattr(suffix_dedup, "_answer", in_any_order)
+    for key in (99, None):
+        rows = [(key, twice, "en", "s", 6000)] + [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(key, twice, "en", "s", 6000)]
+        found = suffix_dedup.with_spans(spark.createDataFrame(rows, DDL).coalesce(2)).collect()
+        got = {r.doc_id: suffix_dedup.cut(bytes(r.text), r.spans) for r in found}
+        want = removed([r[1] for r in rows])
+        assert len(found) == len(rows)
+        for r, (n, spans, kept) in zip(rows, want, strict=True):
+            assert got[r[0]] == (kept, n, spans), r[0]
+
+
 def test_repeats_keep_columns_and_null_ids(spark):
     passage = "shared passage " * 20
     rows = [(1, "a " + passage, "en", "s", 1), (2, passage + "b", "en", "s", 1), (None, "clean", None, None, None), (4, None, "en", "s", 0), (4, None, "en", "s", 0)]
