@@ -1,8 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash, the sum of wide vectors hashed from paragraphs.
 
 A paragraph (a line with a word) gives one vector: 4 lanes of 64 bits from BLAKE2b of its words, one lane that counts
-paragraphs, and 128 lanes of 16 bits, each the sum of +1 or -1 hashed from the 3-word windows that end in the
-paragraph. A fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^16. So it doesn't depend on their
+paragraphs, and 128 lanes of 32 bits, each the sum of +1 or -1 hashed from the 3-word windows that end in the
+paragraph. A fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^32; a text that
+fits a column has fewer windows than would wrap a lane. So it doesn't depend on their
 order, equal multisets of paragraphs have equal fingerprints, and a paragraph is put in or taken out by adding or
 subtracting its vector (add, remove). The narrow lanes u, v of two documents estimate how much they share:
 likeness = 2 u.v / (u.u + v.v), held to 0..1; it is 1 for equal fingerprints.
@@ -33,8 +34,8 @@ _WORDS = WordHashes(1_000_000)
 
 
 def vector(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(wide lanes uint64[5], narrow lanes uint16[128]) of a text."""
-    wide, narrow = np.zeros(WIDE, np.uint64), np.zeros(NARROW, np.uint16)
+    """(wide lanes uint64[5], narrow lanes uint32[128]) of a text."""
+    wide, narrow = np.zeros(WIDE, np.uint64), np.zeros(NARROW, np.uint32)
     if not text:
         return wide, narrow
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
@@ -55,17 +56,17 @@ def vector(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
     x = x[np.fromiter(map(bool, flat[2:]), bool, len(flat) - 2)]
     for k, values in enumerate((x, mixed(x + _SECOND))):
         ones = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        narrow[64 * k : 64 * k + 64] = ((2 * ones - len(x)) & 0xFFFF).astype(np.uint16)
+        narrow[64 * k : 64 * k + 64] = ((2 * ones - len(x)) & 0xFFFFFFFF).astype(np.uint32)
     return wide, narrow
 
 
 def written(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u2").tobytes().hex()
+    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u4").tobytes().hex()
 
 
 def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], "<u2").astype(np.uint16)
+    return np.frombuffer(raw[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], "<u4").astype(np.uint32)
 
 
 def add(fingerprint: str, paragraphs: str) -> str:
@@ -81,7 +82,7 @@ def remove(fingerprint: str, paragraphs: str) -> str:
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
-    u, v = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    u, v = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     both = float(u @ u + v @ v)
     return min(1.0, max(0.0, 2.0 * float(u @ v) / both)) if both else 0.0
 

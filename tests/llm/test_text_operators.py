@@ -114,6 +114,15 @@ def test_fingerprints_compare_with_the_next_document(spark):
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.2
 
 
+def test_fingerprints_of_long_repetitive_texts(spark):
+    rows = ["same " * 40000, "other words"]
+    r = min(fingerprints.compare_with_next(frame(spark, rows)).collect())
+    # u = 39,998 and v = about 20,000 in each lane: 2uv / (uu + vv)
+    assert abs(r.near_edited - 0.8) < 0.01
+    whole = fingerprints.written(fingerprints.vector(rows[0] + "\n" + rows[1]))
+    assert fingerprints.add(r.fingerprint, rows[1]) == whole and fingerprints.remove(whole, rows[1]) == r.fingerprint
+
+
 def test_one_document_and_no_document(spark):
     (r,) = fingerprints.compare_with_next(frame(spark, ["abcdef"])).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
