@@ -121,7 +121,10 @@ def search(
     highlight: dict | None = None,
     summarize: dict | None = None,
 ) -> DataFrame:
-    """The best documents in order: by score, or by a field, ties by key. A score is computed only where it is used."""
+    """The best documents in order: by score, or by a field, ties by key. A score is computed only where it is used.
+
+    A limit with a negative count gives all documents from its offset on.
+    """
     hits = retrieve(index, query)
     knn = isinstance(hits.node, q.Vector) and hits.node.k is not None
     by_score = sortby is None and not knn
@@ -139,7 +142,8 @@ def search(
         df = df.withColumn("__sortkey", F.col(f"`{sortby[0]}`") if sortby else F.lit(None).cast("string"))
     offset, n = limit
     df = df.orderBy(*order)
-    df = (df.offset(offset) if offset else df).limit(n)
+    df = df.offset(offset) if offset else df
+    df = df if n < 0 else df.limit(n)
     if highlight is not None or summarize is not None:
         from .highlight import highlighted, summarized
 

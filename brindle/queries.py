@@ -393,7 +393,13 @@ _knn("knn_l2", "embeddings", "*=>[KNN 20 @embedding $v AS dist]", _L2, "ORDER BY
 _knn("knn_ip", "by_ip", "*=>[KNN 20 @embedding $v AS dist]", _IP, "ORDER BY dist, vec_id LIMIT 20")
 _knn("knn_cosine", "by_cosine", "*=>[KNN 20 @embedding $v AS dist]", _COS, "ORDER BY dist, vec_id LIMIT 20")
 _knn("knn_filtered", "embeddings", "(@label:[2 4])=>[KNN 15 @embedding $v AS dist]", _L2, "WHERE label BETWEEN 2 AND 4 ORDER BY dist, vec_id LIMIT 15")
-_knn("vector_range", "embeddings", "@embedding:[VECTOR_RANGE 3.0 $v]=>{$yield_distance_as: dist}", _L2, "WHERE dist <= 3.0")
+
+
+@query(f"SELECT vec_id, round(dist, 5) AS dist FROM (SELECT *, {_L2} AS dist FROM embeddings) WHERE dist <= 3.0")
+def vector_range(spark, d):
+    out = run(spark, d, "FT.AGGREGATE", "embeddings", "@embedding:[VECTOR_RANGE 3.0 $v]=>{$yield_distance_as: dist}", "PARAMS", 2, "v", ASKED)
+    return out.select("vec_id", F.round("dist", 5).alias("dist"))
+
 
 # -- hybrid ------------------------------------------------------------------------------------------------------------
 
@@ -435,13 +441,13 @@ def synonyms_expand(spark, d):
 
 @query("SELECT p_partkey, p_name, regexp_replace(p_name, '\\bwidget\\b', '<b>widget</b>', 'g') AS marked FROM part WHERE regexp_matches(p_name, '\\bwidget\\b')")
 def highlight(spark, d):
-    out = run(spark, d, "FT.SEARCH", "part", "widget", "SORTBY", "p_partkey", "LIMIT", 0, 1000000, "RETURN", 2, "p_partkey", "p_name", "HIGHLIGHT", "FIELDS", 1, "p_name")
+    out = run(spark, d, "FT.SEARCH", "part", "widget", "SORTBY", "p_partkey", "LIMIT", 0, -1, "RETURN", 2, "p_partkey", "p_name", "HIGHLIGHT", "FIELDS", 1, "p_name")
     return out.select("p_partkey", F.regexp_replace("p_name", "</?b>", "").alias("p_name"), F.col("p_name").alias("marked"))
 
 
 @query()
 def summarize(spark, d):
-    return run(spark, d, "FT.SEARCH", "documents", "rewh", "SUMMARIZE", "FIELDS", 1, "text", "FRAGS", 2, "LEN", 8, "RETURN", 2, "doc_id", "text", "LIMIT", 0, 1000000)
+    return run(spark, d, "FT.SEARCH", "documents", "rewh", "SUMMARIZE", "FIELDS", 1, "text", "FRAGS", 2, "LEN", 8, "RETURN", 2, "doc_id", "text", "LIMIT", 0, -1)
 
 
 @query("SELECT 'widgt' AS term, w AS suggestion, count(DISTINCT p_partkey)::DOUBLE / (SELECT count(*) FROM part) AS score FROM (SELECT p_partkey, unnest(" + toks_sql("p_name") + ") AS w FROM part) WHERE levenshtein(w, 'widgt') <= 1 GROUP BY w")

@@ -43,6 +43,15 @@ def test_counts_aliases_and_listing(fruits):
         fruits.execute("FT.SEARCH", "also", "*")
 
 
+def test_a_negative_count_gives_all_from_the_offset_on(fruits):
+    page = lambda *limit: [r["__key"] for r in fruits.execute("FT.SEARCH", "idx", "*", "SORTBY", "__key", "LIMIT", *limit, "NOCONTENT").collect()]
+    assert ("".join(page(0, -1)), "".join(page(2, -1)), "".join(page(1, 2))) == ("abcde", "cde", "bc")
+    many = fruits.collections["fruits"].sparkSession.range(1_000_002).selectExpr("id AS __key", "'ring' AS name")
+    fruits.register("many", many)
+    fruits.execute("FT.CREATE", "all", "ON", "many", "SCHEMA", "name", "TEXT", "NOSTEM")
+    assert fruits.execute("FT.SEARCH", "all", "*", "SORTBY", "__key", "LIMIT", 0, -1, "NOCONTENT").count() == 1_000_002
+
+
 def test_groups_and_expressions(fruits):
     out = fruits.execute("FT.AGGREGATE", "idx", "*", "APPLY", "upper(@origin)", "AS", "o", "GROUPBY", 1, "@o", "REDUCE", "COUNT", 0, "AS", "n", "REDUCE", "AVG", 1, "@sweetness", "AS", "s")
     assert {r.o: (r.n, r.s) for r in out.collect()} == {None: (1, 4.0), "ECUADOR": (1, 5.0), "CHINA": (2, 3.0), "PERU": (1, 9.5)}
