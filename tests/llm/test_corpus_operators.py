@@ -96,6 +96,42 @@ def test_packing_deals_many_sources_to_bounded_queues(spark):
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
+def test_packing_mixes_every_one_of_many_sources(spark):
+    """Over 256 sources: each window holds each source at its target, the one with a third of all rows too."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(20)), "en", "hot" if i % 3 == 0 else f"source{i % 400}", 1) for i in range(1500)]
+    window = 512
+    of = {r[0]: r[3] for r in rows}
+    for weights in (None, {"hot": 0.5, "source1": 0.25, "source2": 0.25}):
+        pieces = packing.pack_documents(spark.createDataFrame(rows, DDL).repartition(3), window=window, weights=weights).collect()
+        assert all(p.queue == "s:" + of[p.doc_id] for p in pieces)
+        tokens, by_seq = defaultdict(int), defaultdict(Counter)
+        filled = defaultdict(int)
+        for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+            assert p.offset == filled[p.sequence_id]
+            filled[p.sequence_id] += p.length
+            tokens[p.queue] += p.length
+            by_seq[p.sequence_id][p.queue] += p.length
+        last, total = max(by_seq), sum(tokens.values())
+        assert len(tokens) > 256 and all(filled[w] == window for w in range(last)) and 0 < filled[last] <= window
+        ids = defaultdict(list)
+        for p in pieces:
+            ids[p.doc_id].append((p.start, p.length, p.doc_tokens))
+        assert len(ids) == len(rows)
+        assert all(sum(x[1] for x in v) == v[0][2] and [x[0] for x in sorted(v)] == list(np.cumsum([0] + [x[1] for x in sorted(v)])[:-1]) for v in ids.values())
+        if weights is None:
+            seen = Counter()
+            for w in range(last):
+                seen.update(by_seq[w])
+                for q, n in tokens.items():
+                    assert abs(by_seq[w][q] - window * n / total) <= 4
+                    assert abs(seen[q] - (w + 1) * window * n / total) <= 4
+        else:
+            assert abs(by_seq[0]["s:hot"] - window / 2) <= 4
+    plan = packing.Schedule({f"s{k}": 1 + 10**6 // (k + 1) for k in range(20000)}, window=4096)
+    assert max(len(plan._way(0, j)) for j in range(0, 20000, 97)) < 64
+
+
 # -- repeated passages -------------------------------------------------------------------------------------------------
 
 
