@@ -1,4 +1,4 @@
-"""Suffix arrays of shards larger than memory by external induced sorting, with common-prefix values.
+"""Suffix arrays of shards by external induced sorting, with common-prefix values.
 
 A shard's text, types and run lengths lie in files; suffix tuples pass through priority queues that spill sorted runs to
 disk. The substrings between leftmost S-type suffixes are sorted by such a queue and named; the names make a shorter text,
@@ -7,6 +7,10 @@ another the S-type ones, descending. A tuple carries its common-prefix value wit
 than the smallest value between the two suffixes that induced them, read from a stack of range minima. Values are exact
 up to `most`. The values of the first order are compared in the text.
 
+What has to fit in memory: the symbols that a shard is made from (8 bytes each), the places and names of its leftmost
+suffixes, the order that a recursion returns, range minima, all (suffix, common prefix) tuples of the descending pass, and
+the final order. Only the queues and the shard's own text, types and run lengths are on disk.
+
 Files are made in `folder`, which the caller names, and are deleted when they have been read.
 """
 
