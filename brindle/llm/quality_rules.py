@@ -6,8 +6,10 @@ Measures. Words are the runs [^\\x20\\x09-\\x0D]+ of the text. n_words, word_cha
 expressions over the text alone, so there is no shuffle and a document's cost is n log n in its words.
 A rule is a row (name, numerator, denominator, lowest, highest); it fails where the ratio leaves the range.
 
-Defined results. Null or empty text: no words, all measures 0, base_failed. Repeated rows: each is judged by itself.
-Documents with any doc_id, null too, are kept as rows of measure(). Other columns pass through under their names.
+Defined results. Null or empty text: no words, all measures 0, base_failed. Repeated rows and null doc_ids: each row is
+judged by itself. Very long texts: one row's arrays, some tens of bytes a word. An empty table gives an empty table.
+Other columns pass through, but measure() and judge() replace those that are named like what they add, in any case;
+filter_documents gives all columns as they came.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.lit(0), lambda acc, j: acc + F.least(F.lit(3), F.coalesce(F.get(m, j + 1) - F.get(m, j), F.lit(3))))).otherwise(0)
     stop = F.filter(F.transform("__words", lambda x: F.lower(x)), lambda x: x.isin(STOP_WORDS))
     return base.select(
-        *[F.col(names[c]).alias(c) for c in kept if c not in MEASURES],
+        *[F.col(names[c]).alias(c) for c in kept if c.lower() not in (*MEASURES, "base_failed", "kept")],
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length("__body") - F.length(F.translate("__body", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -117,9 +119,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with the columns they came with (measure names in the input are kept aside)."""
+    """The documents that pass, with the columns they came with (measure names in the input are kept aside).
+
+    The verdict goes through explode(): a filter straight on it would be pushed below the projections, which puts the
+    arrays' expressions into the lambdas over them and computes them again for each of their elements.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return judge(packed, rules).where("kept").select("row.*")
+    return judge(packed, rules).select("row", F.explode(F.array("kept")).alias("passed")).where("passed").select("row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,19 @@ def test_quality_passes_columns_through_and_stays_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_quality_filters_long_documents_and_clashing_columns(spark):
+    """A document of thousands of words ends soon: its arrays are made once and not for each of their elements."""
+    rng = random.Random(16)
+    long = " ".join(rng.choice(("the", "of", f"word{rng.randrange(4000)}", f"other{rng.randrange(4000)}")) for _ in range(6000))
+    rows = [(1, long, 5, "x", True), (None, long, None, None, None), (2, "short", 1, "y", True), (3, None, 1, "z", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_Words long, row string, kept boolean")
+    kept = quality_rules.filter_documents(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.N_Words or 0) for r in kept.collect()) == [(0, 0), (1, 5)]
+    judged = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert judged[1].n_words == 6000 and judged[1].kept and not judged[2].kept and "N_Words" not in judged[1]
+    assert quality_rules.filter_documents(df.where("false")).count() == 0 == quality_rules.judge(df.where("false")).count()
+
+
 # -- pipeline ----------------------------------------------------------------------------------------------------------
 
 
