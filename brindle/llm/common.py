@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = kept or tempfile.mkdtemp(prefix="brindle-checkpoint-")
         if not kept:
             spark.sparkContext.setCheckpointDir(found)
@@ -64,13 +67,32 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small(df, row_bytes) else df.hint("merge")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out in taken:
+        out = f"_{out}"
+    return out
+
+
+def bounded(batch: pa.RecordBatch, rows: int = 4096, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A record batch in order, in halves of halves until a part has at most so many rows and bytes, or is one row."""
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > most):
+        half = batch.num_rows // 2
+        yield from bounded(batch.slice(0, half), rows, most)
+        yield from bounded(batch.slice(half), rows, most)
+    elif batch.num_rows:
+        yield batch
+
+
 def by_rows(fn: Callable[[dict], Iterator[dict] | list], schema: pa.Schema, rows: int = 4096, most: int = 8 << 20) -> Callable:
-    """A mapInArrow function: fn gets each record batch's columns as lists and yields dicts of output columns."""
+    """A mapInArrow function: fn gets the columns of bounded() parts as lists and yields dicts of output columns."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                for out in fn(batch.to_pydict()):
+            for part in bounded(batch, rows, most):
+                for out in fn(part.to_pydict()):
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run

@@ -7,16 +7,17 @@ remainder 3 are the held-out counts on which expectation-maximisation fits the w
 likelihood estimates. The final estimates use both.
 
 Plan. The corpus is cut into batches of about `batch_bytes` of text, each with its own word list, written once. A batch
-sends each hash bucket one row with the distinct n-grams it holds there, so repeated words cost one entry a batch
-however frequent they are. A bucket adds up the counts of all batches and answers every batch with the counts of its
-n-grams: there is no join on words. Scoring then needs a batch and its answers alone. Numbers of batches and buckets
-grow with the corpus; all counts cover all of it. For the weights, held-out tokens are added up in cells
-(bucket, log2 ratios of the estimates in eighths), of which there is a bounded number whatever the corpus.
+asks a ledger (see ledger) about its distinct words and pairs, with their counts in it, so repeated words cost one entry a
+batch however frequent they are. The ledger adds up the counts of all batches and answers every batch with the counts
+of its n-grams: there is no join on words. Scoring then needs a batch and its answers alone. All counts cover all
+of the corpus. For the weights, held-out tokens are added up in cells (bucket, log2 ratios of the estimates in
+eighths), of which there are at most BUCKETS * 512 * 64, some 790,000, whatever the corpus.
 
-n-grams are identified by 64-bit hashes.
+n-grams are identified by 63-bit hashes, with one bit more for words or pairs.
 
 Defined results. Null or empty text: the end token alone. Repeated rows and doc_ids: a row each. Null doc_id: its
-text is "" in the split. An empty table gives an empty table.
+text is "" in the split. Very long texts: whole, one batch each, some 40 bytes a word in a task. Other columns are not read,
+whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,39 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, stored, words_of
+from .common import WordHashes, bounded, discard, mixed, small, stored, words_of
+from .ledger import ASKED, ASKED_DDL, FAN_BITS, Ledger, asking, expand, expand_sorted, gathered, resolve, squeeze, squeeze_sorted
 
 PARTS, SCORED_ONLY, HELD = 7, 2, 3
 TEST, HELD_OUT, TRAIN = 0, 1, 2
 BATCH_BYTES = 8 << 20
 BUCKETS, GRID = 24, 8
 _WORDS = WordHashes(1_000_000)
-END = np.uint64(_WORDS[b"\n"])
+_ONE, PAIR = np.uint64(1), np.uint64(1 << 63)
+END = np.uint64(_WORDS[b"\n"]) >> _ONE
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Little-endian bytes by place, compressed; the length leads."""
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return len(x).to_bytes(4, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
-
-
-def expand(b: bytes, dtype) -> np.ndarray:
-    n, size = int.from_bytes(b[:4], "little"), np.dtype(dtype).itemsize
-    if not n:
-        return np.zeros(0, dtype)
-    raw = np.frombuffer(pa.decompress(b[4:], n * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(dtype)
-
-
-def squeeze_sorted(x: np.ndarray) -> bytes:
-    return squeeze(np.diff(x, prepend=np.uint64(0)))
-
-
-def expand_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(expand(b, np.uint64), dtype=np.uint64)
-
-
 def part_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % PARTS
 
@@ -85,7 +66,7 @@ def _batches(batch_bytes: int):
             held[cls] = [[], [], 0]
             return pa.RecordBatch.from_pydict(row, schema=TOKENS)
 
-        for b in batches:
+        for b in (part for whole in batches for part in bounded(whole)):
             cols = b.to_pydict()
             for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
                 p = part_of(doc_id)
@@ -94,7 +75,7 @@ def _batches(batch_bytes: int):
                 words.append(b"\n")
                 mine = held[cls]
                 mine[0].append(doc_id)
-                mine[1].append(_WORDS.of(words))
+                mine[1].append(_WORDS.of(words) >> _ONE)
                 mine[2] += len(text or "") + 1
                 if mine[2] >= batch_bytes:
                     yield flush(cls)
@@ -114,76 +95,46 @@ def _pairs(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[
     before[starts] = -1
     h = words[before]
     h[before < 0] = END
-    return mixed(mixed(h) * _A + words[tokens]), before
+    return (mixed(mixed(h) * _A + words[tokens]) >> _ONE) | PAIR, before
 
 
-ASKED_DDL = "bucket int, kind int, batch long, cls int, keys binary, counts binary"
+def _ask(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]
+            words, tokens, lengths = expand_sorted(r["words"]), expand(r["tokens"], np.uint32), expand(r["lengths"], np.uint32)
+            pairs, times = np.unique(_pairs(words, tokens, lengths)[0], return_counts=True)
+            counts = np.concatenate([np.bincount(tokens, minlength=len(words)), times])
+            none = np.zeros(len(counts), np.uint8)
+            train, held = counts if r["cls"] == TRAIN else none, counts if r["cls"] == HELD_OUT else none
+            yield pa.RecordBatch.from_pylist([asking(r["batch"], [np.concatenate([words, pairs]), train, held])], schema=ASKED)
 
 
-def _ask(bits: int):
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("cls", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                words, tokens, lengths = expand_sorted(r["words"]), expand(r["tokens"], np.uint32), expand(r["lengths"], np.uint32)
-                once = np.bincount(tokens, minlength=len(words)).astype(np.uint32)
-                pairs, times = np.unique(_pairs(words, tokens, lengths)[0], return_counts=True)
-                out = {f.name: [] for f in schema}
-                for kind, keys, counts in ((1, words, once), (2, pairs, times.astype(np.uint32))):
-                    at = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else [0, len(keys)]
-                    for k in range(1 << bits):
-                        lo, hi = int(at[k]), int(at[k + 1])
-                        if hi > lo:
-                            for name, v in zip(out, (k, kind, r["batch"], r["cls"], squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi])), strict=True):
-                                out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return run
+def _sums(columns: list[np.ndarray], number: np.ndarray, n: int) -> list[np.ndarray]:
+    starts = np.searchsorted(number, np.arange(n))
+    return [np.add.reduceat(c, starts, dtype=np.uint64) if n else c for c in columns[1:]]
 
 
-COUNTED = pa.schema([("batch", pa.int64()), ("cls", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("train", pa.binary()), ("held", pa.binary()), ("stats", pa.list_(pa.int64()))])
-COUNTED_DDL = "batch long, cls int, kind int, bucket int, train binary, held binary, stats array<long>"
+def _stats(columns: list[np.ndarray]) -> list[int]:
+    """Distinct words and tokens: of the texts that estimate, and of all that are learned from."""
+    words = columns[0] < PAIR
+    train, both = columns[1][words], (columns[1] + columns[2])[words]
+    return [int((train > 0).sum()), int(train.sum()), int((both > 0).sum()), int(both.sum())]
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """All counts of one bucket and kind: an answer to each batch, and a row of sums (V and N of training, of all)."""
-    rows = table.to_pylist()
-    keys = [expand_sorted(r["keys"]) for r in rows]
-    ends = np.cumsum([len(k) for k in keys])
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    train, held = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
-    for r, e, k in zip(rows, ends, keys, strict=True):
-        if r["cls"] != TEST:
-            (train if r["cls"] == TRAIN else held)[place[e - len(k) : e]] += expand(r["counts"], np.uint32)
-    out = {f.name: [] for f in COUNTED}
+COUNTS = Ledger(values=(np.uint64, np.uint64), answers=(np.uint64, np.uint64), merge=_sums, decide=lambda columns: columns[1:], stats=_stats)
 
-    def put(*values):
-        for name, v in zip(out, values, strict=True):
-            out[name].append(v)
 
-    for r, e, k in zip(rows, ends, keys, strict=True):
-        mine = place[e - len(k) : e]
-        put(r["batch"], r["cls"], r["kind"], r["bucket"], squeeze(train[mine]), squeeze(held[mine]), None)
-    both = train + held
-    put(-1, -1, rows[0]["kind"], rows[0]["bucket"], None, None, [int((train > 0).sum()), int(train.sum()), int((both > 0).sum()), int(both.sum())])
-    return pa.Table.from_pydict(out, schema=COUNTED)
-
-
-def _resolved(tokens: pa.Table, counted: pa.Table):
+def _resolved(tokens: pa.Table, told: pa.Table):
     """One batch with its counts: (row, lengths, c(w), c(h), c(h w)) for each token, each as (training, held-out)."""
     r = tokens.to_pylist()[0]
     words, toks, lengths = expand_sorted(r["words"]), expand(r["tokens"], np.uint32), expand(r["lengths"], np.uint32)
-    answers = sorted(counted.select(["kind", "bucket", "train", "held"]).to_pylist(), key=lambda a: (a["kind"], a["bucket"]))
-    got = {}
-    for kind in (1, 2):
-        some = [a for a in answers if a["kind"] == kind]
-        got[kind] = [np.concatenate([expand(a[c], np.uint64) for a in some]).astype(np.float64) for c in ("train", "held")]
+    got = [x.astype(np.float64) for x in gathered(told, COUNTS)]
     pairs, before = _pairs(words, toks, lengths)
-    place = np.unique(pairs, return_inverse=True)[1]
+    place = np.unique(pairs, return_inverse=True)[1] + len(words)
     end = int(np.searchsorted(words, END))
     h = np.where(before < 0, end, before)
-    return r, lengths, [x[toks] for x in got[1]], [x[h] for x in got[1]], [x[place] for x in got[2]]
+    return r, lengths, [x[toks] for x in got], [x[h] for x in got], [x[place] for x in got]
 
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
@@ -195,12 +146,18 @@ def _estimates(w, h, hw, v: int, n: int):
     return np.divide(hw, h, out=np.zeros(len(w)), where=h > 0), w / max(n, 1), (w + 1) / (n + v + 1)
 
 
+#: steps of the two estimates' ratios to the add-one one, and where 1 lies: from 2^-20 to 2^43, and from 2^-4 to 2^4, as
+#: the unigram and the add-one estimates of a token differ by a factor of 3 at most
+STEPS2, ONE2, STEPS1, ONE1 = 512, 160, 64, 31
+
+
 def _cells(v: int, n: int):
-    def run(tokens: pa.Table, counted: pa.Table) -> pa.Table:
-        _, _, w, h, hw = _resolved(tokens, counted)
+    def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
+        _, _, w, h, hw = _resolved(tokens, told)
         f2, f1, f0 = _estimates(w[0], h[0], hw[0], v, n)
-        grid = lambda f: np.where(f > 0, np.clip(np.round(GRID * np.log2(np.maximum(f, 1e-300) / f0)), -511, 511), -512).astype(np.int64) + 512
-        key = (bucket_of(h[0]) * 1024 + grid(f2)) * 1024 + grid(f1)
+        # step 0: no such n-gram
+        grid = lambda f, steps, one: np.where(f > 0, np.clip(np.round(GRID * np.log2(np.maximum(f, 1e-300) / f0)) + one, 1, steps - 1), 0).astype(np.int64)
+        key = (bucket_of(h[0]) * STEPS2 + grid(f2, STEPS2, ONE2)) * STEPS1 + grid(f1, STEPS1, ONE1)
         cells, times = np.unique(key, return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "times": pa.array(times, pa.int64())})
 
@@ -211,8 +168,8 @@ def fit(cells: np.ndarray, times: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights[bucket, (bigram, unigram, add-one)] by expectation-maximisation over the cells."""
     weights = np.tile(np.array([0.6, 0.35, 0.05]), (BUCKETS, 1))
     weights[0] = (0.0, 0.85, 0.15)
-    b, g2, g1 = cells >> 20, (cells >> 10) & 1023, cells & 1023
-    ratio = np.stack([np.where(g > 0, 2.0 ** ((g - 512) / GRID), 0.0) for g in (g2, g1)] + [np.ones(len(cells))], axis=1)
+    b, g2, g1 = cells // (STEPS2 * STEPS1), cells // STEPS1 % STEPS2, cells % STEPS1
+    ratio = np.stack([np.where(g > 0, 2.0 ** ((g - one) / GRID), 0.0) for g, one in ((g2, ONE2), (g1, ONE1))] + [np.ones(len(cells))], axis=1)
     prior = 0.5 * weights
     for _ in range(rounds):
         part = weights[b] * ratio
@@ -228,8 +185,8 @@ SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_
 
 
 def _score(v: int, n: int, weights: np.ndarray):
-    def run(tokens: pa.Table, counted: pa.Table) -> pa.Table:
-        r, lengths, w, h, hw = _resolved(tokens, counted)
+    def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
+        r, lengths, w, h, hw = _resolved(tokens, told)
         w, h, hw = (x[0] + x[1] for x in (w, h, hw))
         f2, f1, f0 = _estimates(w, h, hw, v, n)
         by = weights[bucket_of(h)]
@@ -242,20 +199,25 @@ def _score(v: int, n: int, weights: np.ndarray):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = stored(rows.mapInArrow(_batches(batch_bytes), TOKENS_DDL), "lm-tokens")
     total = tokens.agg(F.sum("bytes")).first()[0] or 0
-    bits = max(3, (total // batch_bytes).bit_length())
-    asked = tokens.select("batch", "cls", "lengths", "words", "tokens").mapInArrow(_ask(bits), ASKED_DDL)
-    counted = stored(asked.groupBy("bucket", "kind").applyInArrow(_count, COUNTED_DDL), "lm-counts")
-    sums = counted.where("batch = -1 and kind = 1").select(*[F.sum(F.col("stats")[k]) for k in range(4)]).first()
+    asked = tokens.select("batch", "cls", "lengths", "words", "tokens").mapInArrow(_ask, ASKED_DDL)
+    told, read = resolve(asked, total // batch_bytes, COUNTS, fan_bits)
+    counts = stored(told, "lm-counts")
+    for t in read:
+        discard(t)
+    sums = counts.where("batch is null").select(*[F.sum(F.col("stats")[k]) for k in range(4)]).first()
     v_train, n_train, v, n = (x or 0 for x in sums)
-    held = tokens.where(F.col("cls") == HELD_OUT).groupBy("batch").cogroup(counted.where(F.col("cls") == HELD_OUT).groupBy("batch"))
-    cells = held.applyInArrow(_cells(v_train, n_train), "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()
+    counts = counts.where("batch is not null").select("batch", "bucket", "answers")
+    held = tokens.where(F.col("cls") == HELD_OUT)
+    told = counts.join(F.broadcast(held.select("batch")), "batch", "left_semi") if small(held, 16) else counts.join(held.select("batch"), "batch", "left_semi")
+    cells = held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_cells(v_train, n_train), "cell long, times long")
+    cells = cells.groupBy("cell").agg(F.sum("times").alias("times")).toPandas()  # BUCKETS * STEPS2 * STEPS1 rows at most
     weights = fit(cells["cell"].to_numpy(np.int64), cells["times"].to_numpy(np.float64))
-    return tokens.groupBy("batch").cogroup(counted.where("batch >= 0").groupBy("batch")).applyInArrow(_score(v, n, weights), SCORES_DDL)
+    return tokens.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_score(v, n, weights), SCORES_DDL)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Removal of repeated passages: every byte covered by a `length`-byte string that also starts anywhere else.
 
-The plan asks hash buckets about sets of keys instead of joining rows, so a passage that a third of all documents
-share costs one entry a batch of documents:
+The plan asks a ledger about sets of keys (see ledger) instead of joining rows, so a passage that a third of all
+documents share costs one entry a batch of documents:
 
 1. Anchors. Of each 200-byte window the smallest of its 101 hashed 100-byte strings is its anchor (the first of equals),
    so equal windows have equal anchors at equal places. Neighbouring windows mostly share one; runs of such windows
@@ -9,15 +9,19 @@ share costs one entry a batch of documents:
    last one's end).
 2. Runs whose context occurs twice or more are repeated as a whole. Runs whose anchor occurs nowhere else are not
    repeated at all. What is left are the edges of repeats.
-3. There the windows themselves are asked about, by the hash of their 200 bytes; one run of each repeated context with
+3. There the windows themselves are asked about, by two hashes of their 200 bytes; one run of each repeated context with
    such neighbours takes part, so that edges meet it.
 4. A document's repeated windows give its spans, and these are cut out.
 
-The sets of keys in 1 and 3 are exact up to equal 64-bit hashes. The suffix-array form of this operator, external induced
-sorting, is in suffix_external; the README says why the query doesn't run it over every byte.
+Runs and windows are equal where two 64-bit hashes are, an anchor's and its context's or two of a window, and rows by 128 bits. The
+suffix-array form of this operator, external induced sorting, is in suffix_external; the README says why the query
+doesn't run it over every byte.
 
 Defined results. Null or empty text: 0 bytes, nothing removed, the empty text's hash. Repeated rows: copies of each other,
-so of 200 bytes or more they are removed whole. Null doc_id: kept as a row. An empty table gives an empty table.
+so of 200 bytes or more they are removed whole. Null doc_id: kept as a row. Ties: all copies of a string go, none is the first.
+Very long texts are hashed in slices of half a megabyte; offsets are unsigned 32-bit, which holds any string column.
+Clashing names: with_spans and op4 read the id and the text alone; drop_repeats passes all columns through under any names. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,17 +31,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, discard, mixed, stored
-from .lm_scoring import expand, expand_sorted, squeeze, squeeze_sorted
+from .common import BROADCAST_BYTES, bounded, discard, free_name, mixed, stored
+from .ledger import ASKED, ASKED_DDL, FAN_BITS, Ledger, asking, expand, expand_sorted, gathered, resolve, squeeze, squeeze_sorted
 
 LENGTH = 200
 GRAM = 100
 SLICE = 1 << 19
 BATCH_BYTES = 16 << 20
-_T = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_T, _T2 = (np.random.default_rng(k).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (11, 12))
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -51,18 +55,18 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def _ladder(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ladder(data: np.ndarray, table: np.ndarray = _T) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all 64-byte and all 128-byte strings of data; data has 128 bytes at least."""
-    h = _T[data]
+    h = table[data]
     for k in range(6):
         s = 1 << k
         h = _pair(h[:-s], h[s:])
     return h, _pair(h[:-64], h[64:])
 
 
-def window_hashes(data: np.ndarray) -> np.ndarray:
+def window_hashes(data: np.ndarray, table: np.ndarray = _T) -> np.ndarray:
     """The hash of each 200-byte window of data."""
-    h = _ladder(data)[1]
+    h = _ladder(data, table)[1]
     return _pair(h[: len(data) - LENGTH + 1], h[LENGTH - 128 :])
 
 
@@ -127,14 +131,20 @@ def _runs_of(texts: list[bytes]) -> list[np.ndarray]:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_key, doc_id, text: the key is a hash of id and text, so copies of a row share one."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.xxhash64(F.col(id_col), body).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), body.alias("text"))
+    return docs.select(row_key(F.col(id_col), body).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), body.alias("text"))
 
 
-RUNS = pa.schema([("batch", pa.int64()), ("doc_keys", pa.list_(pa.int64())), ("keys", pa.binary()), ("contexts", pa.binary()), ("doc", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
-RUNS_DDL = "batch long, doc_keys array<long>, keys binary, contexts binary, doc binary, first binary, last binary"
+def row_key(doc_id: Column, body: Column) -> Column:
+    """128 bits of a row: two 64-bit hashes with the id in front and behind."""
+    whole = [F.xxhash64(F.lit(1), doc_id, body), F.xxhash64(body, F.lit(2), doc_id)]
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in whole)))
 
 
-def _pack_runs(batch: int, doc_keys: list[int], h, c, doc, first, last) -> pa.RecordBatch:
+RUNS = pa.schema([("batch", pa.int64()), ("doc_keys", pa.list_(pa.binary())), ("keys", pa.binary()), ("contexts", pa.binary()), ("doc", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+RUNS_DDL = "batch long, doc_keys array<binary>, keys binary, contexts binary, doc binary, first binary, last binary"
+
+
+def _pack_runs(batch: int, doc_keys: list[bytes], h, c, doc, first, last) -> pa.RecordBatch:
     order = np.lexsort((c, h))
     row = {"batch": [batch], "doc_keys": [doc_keys], "keys": [squeeze_sorted(h[order])], "contexts": [squeeze(c[order])]}
     row |= {n: [squeeze(x[order].astype(np.uint32))] for n, x in (("doc", doc), ("first", first), ("last", last))}
@@ -169,68 +179,56 @@ def _collect_runs(batch_bytes: int):
     return run
 
 
-def _ask(bits: int):
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("contexts", pa.binary()), ("times", pa.binary())])
+def _distinct(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, contexts, whether a run differs from the one before it) of a batch, whose runs are sorted by both."""
+    h, c = expand_sorted(r["keys"]), expand(r["contexts"], np.uint64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return h, c, new
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                h = expand_sorted(r["keys"])
-                c = expand(r["contexts"], np.uint64)
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-                at = np.flatnonzero(new)
-                times = np.minimum(np.diff(at, append=len(h)), 2).astype(np.uint8)
-                h, c = h[at], c[at]
-                cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                out = {f.name: [] for f in schema}
-                for k in range(1 << bits):
-                    lo, hi = int(cut[k]), int(cut[k + 1])
-                    if hi > lo:
-                        for name, v in zip(out, (k, r["batch"], squeeze_sorted(h[lo:hi]), squeeze(c[lo:hi]), squeeze(times[lo:hi])), strict=True):
-                            out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return run
+def _ask(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]
+            h, c, new = _distinct(r)
+            at = np.flatnonzero(new)
+            times = np.minimum(np.diff(at, append=len(h)), 2)
+            yield pa.RecordBatch.from_pylist([asking(r["batch"], [h[at], c[at], times])], schema=ASKED)
 
 
 ALONE, EDGE, WHOLE, WHOLE_AND_EDGE = 0, 1, 2, 3
-ANSWER_DDL = "batch long, bucket int, marks binary"
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each (key, context) asked about in one bucket: alone, an edge of a repeat, or repeated as a whole."""
-    rows = table.to_pylist()
-    hs = [expand_sorted(r["keys"]) for r in rows]
-    ends = np.cumsum([len(h) for h in hs])
-    h, c = np.concatenate(hs), np.concatenate([expand(r["contexts"], np.uint64) for r in rows])
-    n = np.concatenate([expand(r["times"], np.uint8) for r in rows]).astype(np.int64)
-    order = np.lexsort((c, h))
-    ho, co = h[order], c[order]
-    new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
-    new_h[1:] = ho[1:] != ho[:-1]
-    new_c[1:] = new_h[1:] | (co[1:] != co[:-1])
-    in_class, in_key = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-    times = np.bincount(in_class, n[order])[in_class]
-    classes = np.bincount(in_key, new_c)[in_key]
-    mark = np.where(times >= 2, np.where((classes >= 2) & new_c, WHOLE_AND_EDGE, WHOLE), np.where(classes >= 2, EDGE, ALONE)).astype(np.uint8)
-    out = np.empty(len(h), np.uint8)
-    out[order] = mark
-    marks = [squeeze(out[e - len(x) : e]) for e, x in zip(ends, hs, strict=True)]
-    return pa.table({"batch": pa.array([r["batch"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "marks": pa.array(marks, pa.binary())})
-
-
-def _marks(r: dict, answers: pa.Table) -> np.ndarray:
-    """The mark of each run of a batch."""
-    h, c = expand_sorted(r["keys"]), expand(r["contexts"], np.uint64)
+def _twice(columns: list[np.ndarray], number: np.ndarray, n: int) -> list[np.ndarray]:
+    return [np.minimum(np.bincount(number, columns[2], n), 2).astype(np.uint8)]
+
+
+def _answer(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """For each distinct (key, context): alone, an edge of a repeat, repeated as a whole, or both."""
+    h, _, times = columns
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    got = np.concatenate([expand(a["marks"], np.uint8) for a in sorted(answers.to_pylist(), key=lambda a: a["bucket"])])
-    return got[np.cumsum(new) - 1]
+    new[1:] = h[1:] != h[:-1]
+    key = np.cumsum(new) - 1
+    near = np.bincount(key)[key] >= 2 if len(h) else np.zeros(0, bool)
+    return [np.where(times >= 2, np.where(near, WHOLE_AND_EDGE, WHOLE), np.where(near, EDGE, ALONE)).astype(np.uint8)]
 
 
-SPANS = pa.schema([("doc_key", pa.int64()), ("spans", pa.binary()), ("todo", pa.binary())])
-SPANS_DDL = "doc_key long, spans binary, todo binary"
+def _one_edge(answers: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
+    """One of the runs of a repeated context stands for it at its edges."""
+    return [np.where((answers[0] == WHOLE_AND_EDGE) & ~first, WHOLE, answers[0]).astype(np.uint8)]
+
+
+REPEATS = Ledger(values=(np.uint64, np.uint8), answers=(np.uint8,), merge=_twice, decide=_answer, more_key=1, share=_one_edge)
+
+
+def _marks(r: dict, told: pa.Table) -> np.ndarray:
+    """The mark of each run of a batch."""
+    return gathered(told, REPEATS)[0][np.cumsum(_distinct(r)[2]) - 1]
+
+
+SPANS = pa.schema([("doc_key", pa.binary()), ("spans", pa.binary()), ("todo", pa.binary())])
+SPANS_DDL = "doc_key binary, spans binary, todo binary"
 
 
 def union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,24 +271,26 @@ def _decide_windows(runs: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def _collect_windows(batch_bytes: int):
-    """The windows of runs in todo, as runs of one window with the window's hash as key and no context."""
+    """The windows of runs in todo, as runs of one window with two hashes of the window as key and context."""
 
     def run(batches):
         task, count = TaskContext.get().partitionId(), 0
         keys, found, size = [], [], 0
 
         def flush():
-            h, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            return _pack_runs((task << 24) | count, list(keys), h, np.zeros(len(h), np.uint64), doc, at, at)
+            h, other, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            return _pack_runs((task << 24) | count, list(keys), h, other, doc, at, at)
 
         for b in batches:
             for key, raw, todo in zip(b.column("doc_key").to_pylist(), b.column("text"), b.column("todo"), strict=True):
                 data = np.frombuffer(raw.as_py(), np.uint8)
                 lo, hi = union(*(x for x in np.frombuffer(todo.as_py(), "<u4").astype(np.int64).reshape(-1, 2).T + np.array([[0], [1]])))
                 for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-                    h = window_hashes(data[a : z + LENGTH - 1])
-                    found.append((h, np.full(len(h), len(keys)), np.arange(a, z)))
-                    size += len(h)
+                    for at in range(a, z, SLICE):
+                        piece = data[at : min(at + SLICE, z) + LENGTH - 1]
+                        h = window_hashes(piece)
+                        found.append((h, window_hashes(piece, _T2), np.full(len(h), len(keys)), np.arange(at, at + len(h))))
+                        size += len(h)
                 keys.append(key)
                 if size >= batch_bytes // 16:
                     yield flush()
@@ -302,31 +302,32 @@ def _collect_windows(batch_bytes: int):
     return run
 
 
-def _asked(runs: DataFrame, keys_bytes: int, decide) -> DataFrame:
-    """Asks the buckets about the runs of all batches and gives each batch's decisions."""
-    bits = max(3, (keys_bytes // BATCH_BYTES).bit_length())
-    ddl = "bucket int, batch long, keys binary, contexts binary, times binary"
-    answers = runs.select("batch", "keys", "contexts").mapInArrow(_ask(bits), ddl).groupBy("bucket").applyInArrow(_answer, ANSWER_DDL)
-    return runs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(decide, SPANS_DDL)
+def _asked(runs: DataFrame, keys_bytes: int, decide, batch_bytes: int, fan_bits: int) -> DataFrame:
+    """Each batch's decisions on its runs after the ledger's answers; written to the shared folder."""
+    told, read = resolve(runs.select("batch", "keys", "contexts").mapInArrow(_ask, ASKED_DDL), keys_bytes // batch_bytes, REPEATS, fan_bits)
+    decided = stored(runs.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(decide, SPANS_DDL), "sd-decided")
+    for t in (runs, *read):
+        discard(t)
+    return decided
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_key, doc_id, text (binary), spans (binary: pairs of unsigned 32-bit offsets, maximal and in order, or null)."""
     base = keyed(docs, id_col, text_col)
-    runs = stored(base.select("doc_key", "text").mapInArrow(_collect_runs(BATCH_BYTES), RUNS_DDL), "sd-runs")
+    runs = stored(base.select("doc_key", "text").mapInArrow(_collect_runs(batch_bytes), RUNS_DDL), "sd-runs")
     size = runs.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
-    decided = stored(_asked(runs, size, _decide), "sd-whole")
-    discard(runs)
+    decided = _asked(runs, size, _decide, batch_bytes, fan_bits)
     # copies of a row in several batches may stand for different runs of it: all their intervals are asked about
     lists = decided.where("todo is not null").groupBy("doc_key").agg(F.collect_set("todo").alias("lists"))
     todo = lists.select("doc_key", F.aggregate("lists", F.lit(b""), lambda x, y: F.concat(x, y)).alias("todo"))
     edges = base.select("doc_key", "text").join(_sized(todo, "todo"), "doc_key")
-    windows = stored(edges.mapInArrow(_collect_windows(BATCH_BYTES), RUNS_DDL), "sd-windows")
-    size = windows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    more = stored(_asked(windows, size, _decide_windows), "sd-edges")
-    discard(windows)
+    windows = stored(edges.mapInArrow(_collect_windows(batch_bytes), RUNS_DDL), "sd-windows")
+    size = windows.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
+    more = _asked(windows, size, _decide_windows, batch_bytes, fan_bits)
     both = decided.where("spans is not null").select("doc_key", "spans").unionByName(more.where("spans is not null").select("doc_key", "spans"))
-    spans = stored(both.groupBy("doc_key").applyInArrow(_merge, "doc_key long, spans binary"), "sd-spans")
+    spans = stored(both.groupBy("doc_key").applyInArrow(_merge, "doc_key binary, spans binary"), "sd-spans")
+    discard(decided)
+    discard(more)
     return base.join(_sized(spans, "spans"), "doc_key", "left")
 
 
@@ -339,7 +340,7 @@ def _sized(df: DataFrame, column: str) -> DataFrame:
 def _merge(table: pa.Table) -> pa.Table:
     pairs = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("spans").to_pylist()]).astype(np.int64).reshape(-1, 2)
     lo, hi = union(pairs[:, 0], pairs[:, 1])
-    return pa.table({"doc_key": pa.array([table.column("doc_key")[0].as_py()], pa.int64()), "spans": pa.array([np.stack([lo, hi], axis=1).astype("<u4").tobytes()], pa.binary())})
+    return pa.table({"doc_key": pa.array([table.column("doc_key")[0].as_py()], pa.binary()), "spans": pa.array([np.stack([lo, hi], axis=1).astype("<u4").tobytes()], pa.binary())})
 
 
 def cut(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -378,18 +379,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     A byte cut may split a character: the broken rest is dropped. Documents of which nothing is left stay, empty.
     """
-    spans = with_spans(docs).where("spans is not null").select("doc_key", "spans").dropDuplicates(["doc_key"])
+    key, cuts = free_name(docs, "key"), free_name(docs, "spans")
+    spans = with_spans(docs).where("spans is not null").select(F.col("doc_key").alias(key), F.col("spans").alias(cuts)).dropDuplicates([key])
     spans = stored(spans, "sd-cut")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), body)).join(_sized(spans.withColumnRenamed("doc_key", "__key"), "spans").withColumnRenamed("spans", "__spans"), "__key", "left")
+    rows = docs.withColumn(key, row_key(F.col("doc_id"), body)).join(_sized(spans, cuts), key, "left")
     names = docs.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in bounded(whole)):
             cols = {n: b.column(n) for n in names}
             texts, sizes = [], []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column(cuts).to_pylist(), strict=True):
                 if spans:
                     text = cut(text.encode("utf-8", "surrogatepass"), spans)[0].decode("utf-8", "ignore")
                 texts.append(text)
@@ -399,4 +401,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return rows.select(*names, "__spans").mapInArrow(run, ddl)
+    return rows.select(*names, cuts).mapInArrow(run, ddl)
