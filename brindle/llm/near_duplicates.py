@@ -11,9 +11,11 @@ reach the threshold is confirmed on full sets.
 With 64 values in 16 bands of 4 a pair at the threshold 0.85 is missed with probability 7e-6; at 0.8, with 96 values in
 24 bands, 3e-6.
 
-Defined results. Null, empty or blank text: an empty set, linked with nothing. Rows with one doc_id are one node. Null
-doc_id: linked with nothing, component null, kept. drop_near_duplicates, which has to leave one row of a group, takes
-distinct (doc_id, text) as nodes instead.
+Defined results. Null, empty or blank text: an empty set, linked with nothing. Rows with one doc_id are one node: what
+links one of their texts links them all. Null doc_id: linked with nothing, component null, kept. Ties: the smallest
+doc_id. Very long texts: whole, some 30 bytes a word in the task that reads them. An empty table gives an empty table.
+Other columns are not read by near_duplicates and pass through drop_near_duplicates, which has to leave one row of a
+group and takes distinct (doc_id, text) as nodes instead; input columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, maybe_broadcast, mixed, shingles, stored, words_of
+from .common import WordHashes, bounded, discard, free_name, maybe_broadcast, mixed, shingles, stored, words_of
 from .components import components
 
 _WORDS = WordHashes(1_000_000)
@@ -66,7 +68,7 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> Dat
 
     def run(batches):
         mm = MinMax(permutations, rows)
-        for b in batches:
+        for b in (part for whole in batches for part in bounded(whole)):
             cols = b.to_pydict()
             out = {f.name: [] for f in schema}
             for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
@@ -131,7 +133,10 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                     out_b.append(b)
             yield pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=schema)
 
-    return stored(both.select("a", "b", "size_a", "text_a", "size_b", "text_b").mapInArrow(run, "a long, b long"), "nd-links")
+    links = stored(both.select("a", "b", "size_a", "text_a", "size_b", "text_b").mapInArrow(run, "a long, b long"), "nd-links")
+    discard(ids)
+    discard(texts)
+    return links
 
 
 def prefix_pairs(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -142,19 +147,20 @@ def prefix_pairs(open_: DataFrame, docs: DataFrame, width: int, percent: int) ->
     one document alone has come first in the order but pair nothing, so they are counted and not dealt out. A large group
     of texts that are all a little too far apart has its own shingles in these places, and gives no pairs.
     """
-    schema = pa.schema([("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+    schema = pa.schema([("rep", pa.int64()), ("comp", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
 
     def run(batches):
         for b in batches:
             for rep, comp, text in zip(b.column("rep").to_pylist(), b.column("comp").to_pylist(), b.column("text"), strict=True):
                 s = shingle_set(text.as_py(), width)
-                yield pa.RecordBatch.from_pydict({"rep": np.full(len(s), rep), "comp": np.full(len(s), comp), "n": np.full(len(s), len(s)), "token": s.view(np.int64)}, schema=schema)
+                key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_pydict({"rep": np.full(len(s), rep), "comp": np.full(len(s), comp), "set": np.full(len(s), key), "n": np.full(len(s), len(s)), "token": s.view(np.int64)}, schema=schema)
 
     texts = docs.join(maybe_broadcast(open_, 24), F.col("doc_id") == F.col("rep")).select("rep", "comp", "text")
-    tokens = stored(texts.mapInArrow(run, "rep long, comp long, n long, token long"), "nd-tokens")
+    tokens = stored(texts.mapInArrow(run, "rep long, comp long, set long, n long, token long"), "nd-tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
     order = F.sort_array(F.collect_list(F.struct("times", "token")))  # of one document: no longer than its set
-    sets = tokens.join(shared, "token").groupBy("rep", "comp", "n").agg(order.alias("tokens"))
+    sets = tokens.join(shared, "token").groupBy("rep", "comp", "set", "n").agg(order.alias("tokens"))
     # where the other set is as large or larger, so many are shared at least; where it is smaller, so many
     as_large = F.ceil(2 * percent * F.col("n") / F.lit(100.0 + percent) - 1e-9)
     smaller = F.ceil(percent * F.col("n") / 100.0 - 1e-9)
@@ -171,10 +177,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, permutat
     """doc_id, n_shingles, component_id, kept; one row an input row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = signatures(docs, width, permutations, rows)
-    classes = stored(table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "nd-classes")
+    named = table.where("doc_id is not null")
+    # doc_ids of several rows: one text of each kind is enough, and an id with several sets is one node
+    twice = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.coalesce("digest", F.lit(b""))).alias("lo"), F.max(F.coalesce("digest", F.lit(b""))).alias("hi"))
+    twice = stored(twice.where("n > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("differ")), "nd-twice")
+    few = maybe_broadcast(twice, 24)
+    if twice.limit(1).count():
+        docs = stored(docs.join(few, "doc_id", "left_anti").unionByName(docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "nd-rows")
+    full = named.where("digest is not null")
     # a row a class: its representative's bands come with it through the aggregation, as equal sets have equal ones
-    reps = table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = stored(reps.drop("digest"), "nd-reps")
+    reps = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-reps")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("bucket", "n")
     shared = stored(buckets.join(sizes, "bucket"), "nd-buckets")
@@ -182,7 +194,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, permutat
     leaders = shared.join(centre, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("m")).select("bucket", (-F.col("m.back")).alias("a"))
     pairs = stored(shared.join(leaders, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "nd-pairs")
     links = verified(pairs, docs, width, percent)
-    labels = components(links)
+    own = stored(full.join(few.where("differ"), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"), "nd-own")
+    edges = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    labels = components(edges)
 
     member = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("comp"))
     member = stored(member, "nd-members")
@@ -192,11 +206,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, permutat
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stored(across.join(tested, ["a", "b"], "left_anti"), "nd-more")
     if more.limit(1).count():
-        labels = components(links.unionByName(verified(more, docs, width, percent)))
-
-    ids = table.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "rep")
-    out = ids.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
+        discard(labels)
+        again = verified(more, docs, width, percent)
+        labels = components(edges.unionByName(again))
+        discard(again)
+    for t in (shared, pairs, links, member, open_, more):
+        discard(t)
+
+    label = labels.withColumnRenamed("id", "rep")
+    of_class = reps.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    columns = "doc_id", "n_shingles", "component_id"
+    out = full.join(of_class, "digest").select(*columns)
+    # empty sets have no class and aren't dealt out by their missing digest; their doc_id may have rows with words
+    of_id = own.join(label, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
+    bare = named.where("digest is null").join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    unnamed = table.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
+    out = out.unionByName(bare.select(*columns)).unionByName(unnamed.select(*columns))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -206,19 +231,20 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, per
     A node here is a distinct (doc_id, text), so rows of a null doc_id have groups too, and other texts under a doc_id that
     has gone stay. Equal rows keep the one with the smallest columns in their order; a group keeps its smallest doc_id, a null one last.
     """
-    names = docs.columns
-    nodes = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    twice = stored(nodes.groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"), "nd-twice")
+    names, key = docs.columns, free_name(docs, "row")
+    nodes = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    twice = stored(nodes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "nd-twice")
     if twice.limit(1).count():
         few = maybe_broadcast(twice, 16)
-        one = nodes.join(few, "__row", "left_semi").groupBy("__row", "doc_id", F.coalesce("text", F.lit(""))).agg(F.min(F.struct(*names)).alias("one"))
-        nodes = stored(nodes.join(few, "__row", "left_anti").select(*names, "__row").unionByName(one.select("one.*", "__row")), "nd-rows")
-    found = near_duplicates(nodes, width, percent, permutations, rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    found = stored(found.join(nodes.select("__row", "doc_id"), "__row"), "nd-found")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row"))
-    stay = found.groupBy("component_id").agg(first.alias("first")).select("first.__row")
-    gone = stored(found.select("__row").join(stay, "__row", "left_anti"), "nd-gone")
-    return nodes.join(maybe_broadcast(gone, 16), "__row", "left_anti").select(*names)
+        one = nodes.join(few, key, "left_semi").groupBy(key, "doc_id", F.coalesce("text", F.lit(""))).agg(F.min(F.struct(*names)).alias("one"))
+        nodes = stored(nodes.join(few, key, "left_anti").select(*names, key).unionByName(one.select("one.*", key)), "nd-rows")
+    found = near_duplicates(nodes, width, percent, permutations, rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    found = stored(found.join(nodes.select(key, "doc_id"), key), "nd-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(key).alias("key")))
+    stay = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    gone = stored(found.select(key).join(stay, key, "left_anti"), "nd-gone")
+    discard(found)
+    return nodes.join(maybe_broadcast(gone, 16), key, "left_anti").select(*names)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
