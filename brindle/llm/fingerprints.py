@@ -1,8 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash, the sum of wide vectors hashed from paragraphs.
 
-A paragraph (a line with a word) gives one vector: 4 lanes of 64 bits from BLAKE2b of its words, one lane that counts
+A paragraph (a line with a word) gives one vector: 16 lanes of 64 bits from SHAKE-256 of its words, one lane that counts
 paragraphs, and 128 lanes of 32 bits, each the sum of +1 or -1 hashed from the 3-word windows that end in the
-paragraph. A fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^32; a text that
+paragraph. (A sum modulo 2^64 in few lanes is forged by finding paragraphs whose vectors add up to 0; so the exact part
+is 1024 bits wide.) A fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^32; a text that
 fits a column has fewer windows than would wrap a lane. So it doesn't depend on their
 order, equal multisets of paragraphs have equal fingerprints, and a paragraph is put in or taken out by adding or
 subtracting its vector (add, remove). The narrow lanes u, v of two documents estimate how much they share:
@@ -10,8 +11,10 @@ likeness = 2 u.v / (u.u + v.v), held to 0..1; it is 1 for equal fingerprints.
 
 Written form: lower-case hex of all lanes, little-endian.
 
-Defined results. Null text: empty; the zero vector. Repeated doc_ids: ordered by text after doc_id, so each row has a next
-one. Null doc_id: first in the order. An only document is its own next one. An empty table gives an empty table.
+Defined results. Null text: empty; the zero vector. Repeated doc_ids: ordered by a hash of the text after doc_id, so each row
+has a next one; equal rows stand one after another. Null doc_id: first in the order. An only document is its own next one.
+Very long texts: whole, some 100 bytes a word in a task. Other columns are not read, whatever their names. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,16 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, stored
+from .common import WordHashes, bounded, mixed, stored
 
-WIDE, NARROW = 5, 128
+EXACT, NARROW = 16, 128
+WIDE = EXACT + 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SECOND = np.uint64(0xD1B54A32D192ED03)
 _WORDS = WordHashes(1_000_000)
 
 
 def vector(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(wide lanes uint64[5], narrow lanes uint32[128]) of a text."""
+    """(wide lanes uint64[17], narrow lanes uint32[128]) of a text."""
     wide, narrow = np.zeros(WIDE, np.uint64), np.zeros(NARROW, np.uint32)
     if not text:
         return wide, narrow
@@ -46,11 +50,11 @@ def vector(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
         if words:
             flat += (b"", b"")
             flat += words
-            digests.append(hashlib.blake2b(b" ".join(words), digest_size=32).digest())
+            digests.append(hashlib.shake_256(b" ".join(words)).digest(8 * EXACT))
     if not digests:
         return wide, narrow
-    wide[:4] = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4).sum(axis=0, dtype=np.uint64)
-    wide[4] = len(digests)
+    wide[:EXACT] = np.frombuffer(b"".join(digests), "<u8").reshape(-1, EXACT).sum(axis=0, dtype=np.uint64)
+    wide[EXACT] = len(digests)
     h = _WORDS.of(flat)
     x = mixed(mixed(h[:-2] * _A + h[1:-1]) * _B + h[2:])
     x = x[np.fromiter(map(bool, flat[2:]), bool, len(flat) - 2)]
@@ -93,7 +97,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in bounded(whole)):
             cols = b.to_pydict()
             yield pa.RecordBatch.from_pydict({"doc_id": cols["doc_id"], "fingerprint": [written(vector(t)) for t in cols["text"]]}, schema=schema)
 
@@ -116,12 +120,15 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Each document's fingerprint against those of its edited text and of the next document in doc_id order.
 
     Rows are dealt by ranges of doc_id and sorted within them, so the next document is the next row; the last row of a
-    range waits for the first one of the next range, and only these rows meet again.
+    range waits for the first one of the next range, and only these rows meet again. Rows of one doc_id, or of none, are
+    dealt by their texts' hashes and then, where these are equal, by their places in the input.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "place"]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     full = pa.schema([*RESULT, ("part", pa.int64()), ("edge", pa.string()), ("text", pa.string())])
 
     def run(batches):
@@ -131,7 +138,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def edge(kind, doc_id, text):
             return pa.RecordBatch.from_pylist([{"doc_id": doc_id, "part": part, "edge": kind, "text": text}], schema=full)
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in bounded(whole)):
             cols = batch.to_pydict()
             out = []
             for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
