@@ -22,7 +22,8 @@ only shortens the names in the column queue: all but the largest sources are nam
 Documents are cut where a window ends for their queue. All windows are full but the last.
 
 Defined results. Null or empty text: the end token alone. Null source: a queue of its own. Repeated rows and doc_ids:
-each row is packed by itself. Null doc_id: kept. An empty table gives no pieces.
+each row is packed by itself. Null doc_id: kept. Very long texts: a document's ids in one task, its pieces in batches of 8 MB.
+Other columns are not read, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_tree import default_path
-from .common import maybe_broadcast, stored
+from .common import bounded, maybe_broadcast, stored
 from .tokenizer_files import encoder
 
 WINDOW = 4096
@@ -201,7 +202,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         enc, chunk, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         narrow = enc.vocab_size <= 1 << 16
-        for batch in batches:
+        for batch in (b for whole in batches for b in bounded(whole)):
             cols = batch.to_pydict()
             before, ns, ids = [], [], []
             for q, text in zip(cols["queue"], cols["text"], strict=True):
@@ -228,7 +229,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str,
     placed = rows.join(maybe_broadcast(starts, 64), ["chunk", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("queue", pa.string()), ("ids", pa.binary())])
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in bounded(whole)):
             cols = batch.to_pydict()
             out: dict[str, list] = {f.name: [] for f in schema}
             size = 0

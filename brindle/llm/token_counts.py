@@ -9,7 +9,9 @@ This vocabulary has no piece with a word mark after another character, so no mer
 following space. Such places are stable without an overlap: texts are cut there, the parts are looked up, and only
 parts longer than `chunk` characters need splicing. Documents over `long_chars` are dealt out to tasks at such places.
 
-Defined results. Null text: empty, 0 bytes, 0 tokens. Repeated rows and doc_ids, null doc_ids: one row each.
+Defined results. Null text: empty, 0 bytes, 0 tokens. Repeated rows and doc_ids, null doc_ids: one row each. Very long
+texts: one document's text in the task that cuts it up, a quarter of `long_chars` in those that count. Other columns are
+not read, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
