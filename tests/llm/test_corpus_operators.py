@@ -10,8 +10,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from brindle.llm import lm_scoring, near_duplicates, packing, quality_rules, suffix_dedup
+from brindle.llm import bpe_tree, fingerprints, ledger, lm_scoring, near_duplicates, packing, quality_rules, suffix_dedup, token_counts
 from brindle.llm.tokenizer_files import encoder
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -165,13 +166,12 @@ def test_repeats_of_rows_in_several_batches_meet_all_their_edges(spark, monkeypa
     make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     twice = make(6000)
     texts = [make(150) + twice[k : k + 210] + make(150) for k in range(100, 5700, 400)]
-    answer = suffix_dedup._answer
+    final = ledger._final
 
-    def in_any_order(table):
-        k = table.column("bucket")[0].as_py()
-        return answer(table.sort_by([("batch", "descending" if k % 2 else "ascending")]))
+    def in_any_order(asked):
+        return lambda table: final(asked)(table.sort_by([("batch", "descending" if table.column("bucket")[0].as_py() % 2 else "ascending")]))
 
-    monkeypatch.setattr(suffix_dedup, "_answer", in_any_order)
+    monkeypatch.setattr(ledger, "_final", in_any_order)
     for key in (99, None):
         rows = [(key, twice, "en", "s", 6000)] + [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(key, twice, "en", "s", 6000)]
         found = suffix_dedup.with_spans(spark.createDataFrame(rows, DDL).coalesce(2)).collect()
@@ -222,6 +222,27 @@ def test_near_duplicates_equal_all_pairs(spark, width, percent, permutations):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (sizes[i], roots[i], roots[i] == i), i
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """A doc_id with several texts is one node; repeated rows and rows without words or an id change nothing."""
+    rng = random.Random(18)
+    make = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    a, b, c, d = make(), make(), make(), make()
+    rows = [(1, a), (5, a), (5, b), (9, b + " more"), (9, None), (12, c), (12, c), (14, c.upper()), (20, ""), (20, " "), (None, a), (None, None), (30, d), (31, None)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    got = near_duplicates.near_duplicates(df).collect()
+    assert len(got) == 2 * len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (9, 1), (12, 12), (14, 12), (20, 20), (None, None), (30, 30), (31, 31)}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    clash = df.withColumns({"__row": F.lit("x"), "__key": F.lit("y"), "component_id": F.lit(7), "kept": F.lit(False)})
+    kept = near_duplicates.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns
+    left = Counter((r.doc_id, (r.text or "").strip()) for r in kept.collect())
+    # other texts under an id stay unless they are near one that stays
+    assert left == Counter({(1, a): 1, (5, b): 1, (9, ""): 1, (12, c): 1, (20, ""): 2, (None, ""): 1, (30, d): 1, (31, ""): 1})
+    again = suffix_dedup.drop_repeats(clash)
+    assert again.columns == clash.columns and {r["__key"] for r in again.collect()} == {"y"}
+
+
 def test_near_duplicates_of_a_chain_and_of_ties(spark):
     words = [f"t{i}" for i in range(120)]
     texts = []
@@ -251,8 +272,79 @@ def test_scores_equal_brute_force(spark):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (part[i] == 2, len(t), sum(counts[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-    # the model is a distribution: over all words and one unseen word after a history it sums to at most 1
-    assert all(r.score < 0 for r in got.values())
+    # the weights by expectation-maximisation over each held-out token, not over cells of them
+    def count(parts):
+        c1, c2 = Counter(), Counter()
+        for i, t in enumerate(tokens):
+            if part[i] in parts:
+                c1.update(t)
+                c2.update(zip([b"\n", *t], t, strict=False))
+        return c1, c2, sum(c1.values()), len(c1)
+
+    def estimates(c1, c2, n, v, h, w):
+        return (c2[h, w] / c1[h] if c1[h] else 0.0, c1[w] / n, (c1[w] + 1) / (n + v + 1)), c1[h].bit_length()
+
+    learned = count({0, 1, 4, 5, 6})
+    seen = [estimates(*learned, h, w) for i, t in enumerate(tokens) if part[i] == 3 for h, w in zip([b"\n", *t], t, strict=False)]
+    start = [(0.0, 0.85, 0.15) if b == 0 else (0.6, 0.35, 0.05) for b in range(lm_scoring.BUCKETS)]
+    weights = [list(x) for x in start]
+    for _ in range(40):
+        new = [[0.5 * x for x in row] for row in start]
+        for f, b in seen:
+            total = sum(x * y for x, y in zip(weights[b], f, strict=True))
+            for k in range(3):
+                new[b][k] += weights[b][k] * f[k] / total
+        weights = [[x / sum(row) for x in row] for row in new]
+    final = count({0, 1, 3, 4, 5, 6})
+    for i, t in enumerate(tokens):
+        want = 0.0
+        for h, w in zip([b"\n", *t], t, strict=False):
+            f, b = estimates(*final, h, w)
+            want += math.log10(sum(x * y for x, y in zip(weights[b], f, strict=True)))
+        assert math.isclose(got[i].score, want, rel_tol=0.01, abs_tol=0.02), i
+
+
+def test_scores_and_repeats_are_the_same_through_levels_of_buckets(spark, monkeypatch):
+    """Small fans make three levels; none has more rows than its batches times the fan."""
+    texts = corpus(17, 80)
+    df = frame(spark, texts)
+    tall = {r.doc_id: r for r in lm_scoring.score_documents(df, batch_bytes=3000, fan_bits=1).collect()}
+    flat = {r.doc_id: r for r in lm_scoring.score_documents(df, batch_bytes=3000).collect()}
+    assert set(tall) == set(flat)
+    for i, r in flat.items():
+        assert tall[i][:5] == r[:5] and math.isclose(tall[i].base_score, r.base_score) and math.isclose(tall[i].score, r.score), i
+    made, stored = [], ledger.stored
+    monkeypatch.setattr(ledger, "stored", lambda df, name: made.append((name, stored(df, name))) or made[-1][1])
+    got = {r.doc_id: suffix_dedup.cut(bytes(r.text), r.spans) for r in suffix_dedup.with_spans(df, batch_bytes=4000, fan_bits=1).collect()}
+    for i, (n, spans, kept) in enumerate(removed(texts)):
+        assert got[i] == (kept, n, spans), i
+    assert len([name for name, _ in made if name == "ledger-rows"]) >= 3
+
+
+def test_a_ledger_sends_no_more_rows_than_batches_times_the_fan(spark, monkeypatch):
+    """At twice the batches, each level has about twice the rows."""
+    rng = np.random.default_rng(5)
+    kept, sizes = ledger.discard, []
+    monkeypatch.setattr(ledger, "discard", lambda df: None)
+    stored = ledger.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "ledger-rows":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ledger, "stored", counted)
+    rows = {}
+    for n in (8, 16):
+        sizes.clear()
+        asked = [ledger.asking(k, [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)), np.ones(300, np.uint8), np.zeros(300, np.uint8)]) for k in range(n)]
+        df = spark.createDataFrame([(r["batch"], r["keys"], r["values"]) for r in asked], ledger.ASKED_DDL)
+        told = ledger.resolve(df, n, lm_scoring.COUNTS, fan_bits=2)[0].where("batch is not null")
+        assert sum(len(ledger.expand_small(bytes(r.answers[0]), np.uint64)) for r in told.collect()) == 300 * n
+        assert all(s <= 4 * n for s in sizes) and sizes
+        rows[n] = list(sizes)
+    assert kept is not None and sum(rows[16]) <= 3 * sum(rows[8])
 
 
 def test_weights_are_learned_and_help(spark):
@@ -270,7 +362,8 @@ def test_weights_are_learned_and_help(spark):
 
 
 def test_expectation_maximisation_finds_the_mixture():
-    cells = np.array([(5 << 20) | (lm_scoring.GRID * 3 + 512) << 10 | 512, (5 << 20) | 0 << 10 | 512])
+    cell = lambda bucket, g2, g1: (bucket * lm_scoring.STEPS2 + g2) * lm_scoring.STEPS1 + g1
+    cells = np.array([cell(5, lm_scoring.GRID * 3 + lm_scoring.ONE2, lm_scoring.ONE1), cell(5, 0, lm_scoring.ONE1)])
     weights = lm_scoring.fit(cells, np.array([900.0, 100.0]))
     assert np.allclose(weights.sum(axis=1), 1) and weights[5, 0] > 0.7
 
@@ -380,16 +473,180 @@ def test_pipeline_keeps_one_row_of_repeated_rows(spark, tmp_path):
     assert [r.lang for r in kept if r.doc_id is None] == ["de"]
 
 
-def test_registered_queries_are_whole(spark, sf_dir):
-    """Each query's rows against the same figures by the libraries, over whole tables."""
+# -- registered queries --------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def whole(spark, sf_dir):
+    """doc_id -> text of the whole table, and the ids in order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    return {r.doc_id: r.text for r in docs}, [r.doc_id for r in docs]
+
+
+def asked(spark, sf_dir, name):
     from brindle.llm.queries import QUERIES
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
-    texts = {r.doc_id: r.text for r in docs}
-    order = [r.doc_id for r in docs]
-    got = {r.doc_id: r for r in QUERIES["op4_repeated_passages"](spark, sf_dir).collect()}
+    return QUERIES[name](spark, sf_dir).collect()
+
+
+def library(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+def test_op1_equals_the_library(spark, sf_dir, whole):
+    texts, order = whole
+    tok, pieces, filled = library("word_bpe_49k.json"), defaultdict(list), Counter()
+    for r in asked(spark, sf_dir, "op1_mixture_packing"):
+        pieces[r.doc_id].append(r)
+        filled[r.sequence_id] += r.length
+    assert sorted(pieces) == order and all(n == 4096 for w, n in filled.items() if w != max(filled)) and filled[max(filled)] <= 4096
+    for i in order:
+        ids = np.array([*tok.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+
+
+def test_op2_equals_the_library(spark, sf_dir, whole):
+    import public_tokenizers
+    import sentencepiece
+
+    texts, order = whole
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in asked(spark, sf_dir, "op2_token_counts")}
+    assert sorted(got) == order
+    for i in order:
+        n = len(sp.encode(texts[i] or ""))
+        assert got[i] == (len((texts[i] or "").encode()), n, n > 4096)
+
+
+def test_op3_equals_the_pages(spark, sf_dir):
+    import base64
+
+    first, want = {}, []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").orderBy("page_id").collect():
+        raw = (r.html or "").encode()
+        at = first.setdefault(raw, r.page_id)
+        want.append((r.page_id, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if at == r.page_id else "revisit", None if at == r.page_id else at))
+    assert sorted(tuple(r) for r in asked(spark, sf_dir, "op3_warc_boundary_chain")) == want
+
+
+def test_op4_equals_brute_force(spark, sf_dir, whole):
+    texts, order = whole
+    got = {r.doc_id: r for r in asked(spark, sf_dir, "op4_repeated_passages")}
     for i, (n, spans, kept) in zip(order, removed([texts[i] for i in order]), strict=True):
         assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, spans, hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: r for r in QUERIES["op9_minmax_near_dup"](spark, sf_dir).collect()}
+
+
+def test_op5_equals_the_library(spark, sf_dir, whole):
+    texts, order = whole
+    tok = library("word_bpe_49k.json")
+    got = {r.doc_id: r for r in asked(spark, sf_dir, "op5_bpe_tree")}
+    assert sorted(got) == order
+    for i in order:
+        ids = tok.encode(texts[i] or "", add_special_tokens=False).ids
+        read = tok.decode(ids, skip_special_tokens=False).encode()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(read).hexdigest())
+
+
+def test_op6_equals_its_definition(spark, sf_dir, whole):
+    texts, order = whole
+    got = {r.doc_id: r for r in asked(spark, sf_dir, "op6_multiset_fingerprints")}
+    for k, i in enumerate(order):
+        t, nxt = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for text, mark in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
+            # the exact part by sums of whole numbers
+            lines = [b" ".join(x.split()) for x in text.encode().split(b"\n") if x.split()]
+            hashes = [hashlib.shake_256(x).digest(128) for x in lines]
+            lanes = [sum(int.from_bytes(h[8 * j : 8 * j + 8], "little") for h in hashes) % 2**64 for j in range(16)]
+            assert mark[:272] == b"".join(x.to_bytes(8, "little") for x in [*lanes, len(lines)]).hex()
+        for text, near in ((edited, r.near_edited), (nxt, r.near_next)):
+            # the likeness from the windows themselves, which the lanes estimate
+            u, v = (Counter(w for x in y.encode().split(b"\n") if (ws := [b"", b"", *x.split()]) for w in zip(ws, ws[1:], ws[2:], strict=False) if w[2]) for y in (t, text))
+            both = sum(n * n for n in u.values()) + sum(n * n for n in v.values())
+            exact = 2 * sum(n * v[w] for w, n in u.items()) / both if both else float(t == text)
+            assert abs(near - exact) < 0.45 and 0 <= near <= 1
+    assert len({r.fingerprint for r in got.values()}) == len({tuple(sorted(b" ".join(x.split()) for x in (t or "").encode().split(b"\n") if x.split())) for t in texts.values()})
+
+
+def test_op7_equals_brute_force(spark, sf_dir, whole):
+    texts, order = whole
+    got = {r.doc_id: r for r in asked(spark, sf_dir, "op7_deleted_interpolation")}
+    tokens = {i: [*words_of(texts[i]), b"\n"] for i in order}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in order}
+    counts = Counter(w for i in order if not held[i] for w in tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    for i in order:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens[i]), rel_tol=1e-9)
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+
+
+def test_op9_equals_all_pairs(spark, sf_dir, whole):
+    texts, order = whole
+    got = {r.doc_id: r for r in asked(spark, sf_dir, "op9_minmax_near_dup")}
     sizes, roots = linked([texts[i] for i in order], 3, 85)
     assert [(got[i].n_shingles, got[i].component_id) for i in order] == [(s, order[r]) for s, r in zip(sizes, roots, strict=True)]
+
+
+def test_op10_equals_brute_force(spark, sf_dir, whole):
+    texts, order = whole
+    got = {r.doc_id: r for r in asked(spark, sf_dir, "op10_quality_rules")}
+    for i in order:
+        r, want = got[i], measures(texts[i])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
+
+
+def test_nulls_repeats_clashes_and_empty_tables(spark):
+    """Each operator on a table with null ids and texts, repeated rows and columns named like its own."""
+    rows = [(None, "one two three " * 5), (None, None), (1, ""), (1, ""), (2, "one two three " * 5), (2, "another text")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n", "ids", "queue", "hash", "place", "bytes", "batch", "n_tokens", "seg", "kind", "doc_key", "score")})
+    made = {
+        "op1": packing.pack_documents(df),
+        "op2": token_counts.count_tokens(df, long_chars=20),
+        "op5": bpe_tree.encode_documents(df, long_chars=20, segment=8, decoded=True),
+        "op6": fingerprints.compare_with_next(df),
+        "op7": lm_scoring.score_documents(df),
+        "op4": suffix_dedup.with_spans(df),
+        "op10": quality_rules.judge(df),
+    }
+    for name, out in made.items():
+        got = Counter(r.doc_id for r in out.collect())
+        assert got == Counter({None: 4, 1: 4, 2: 4}), name
+    empty = df.where("false")
+    for out in (packing.pack_documents(empty), token_counts.count_tokens(empty), bpe_tree.encode_documents(empty), fingerprints.compare_with_next(empty), lm_scoring.score_documents(empty), suffix_dedup.with_spans(empty), near_duplicates.drop_near_duplicates(empty)):
+        assert out.count() == 0
+
+
+def test_tables_too_large_to_broadcast_are_dealt_out(spark, monkeypatch):
+    from brindle.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
+    texts = corpus(19, 30)
+    rows = suffix_dedup.with_spans(frame(spark, texts)).collect()
+    got = {r.doc_id: suffix_dedup.cut(bytes(r.text), r.spans) for r in rows}
+    assert all(got[i] == (kept, n, spans) for i, (n, spans, kept) in enumerate(removed(texts)))
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from brindle.llm.common import shared_dir
+
+    kept = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(kept)
