@@ -4,12 +4,15 @@ Documents longer than `long_chars` are dealt out: their words are cut into segme
 longer than a segment into several that are marked as joined; one group a document then joins them pairwise.
 
 Defined results. Null or empty text: no ids, decoded as the empty text. Repeated rows and doc_ids: one row each. Null
-doc_id: kept. Special strings in a text are special tokens, as the library's default is.
+doc_id: kept. Special strings in a text are special tokens, as the library's default is. An empty table gives an empty
+table. Very long texts: one document's ids, and eight bytes a token of its longest word, are joined in one task. Other
+columns are not read and not returned, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,78 +84,75 @@ def _segments(path: str, segment: int):
 def _encode_segments(path: str):
     def run(cols: dict):
         enc = encoder(path)
-        ids, sizes = [], []
+        ids, sizes, bodies = [], [], []
         for kind, body in zip(cols["kind"], cols["body"], strict=True):
-            if kind == "special":
-                found = [(enc.specials[body], 0)]
-            elif kind == "words":
-                found = None
-            else:
+            joins = kind in ("first", "inner", "last")
+            if joins:
                 found = enc.tree(body, kind == "last", 1024)
-            if found is None:
+                ids.append(found[0].astype("<u4").tobytes())
+                sizes.append(found[1].astype("<u4").tobytes())
+            elif kind == "special":
+                ids.append(np.array([enc.specials[body]], "<u4").tobytes())
+            else:
                 # words were found in the normalised text; each one is a word by itself, so line feeds may stand between
                 ids.append(b"".join([enc.encode_word(w) for w in body.split("\n")]) if body else b"")
-                sizes.append(None)
-            else:
-                ids.append(np.array([t for t, _ in found], "<u4").tobytes())
-                sizes.append(np.array([n for _, n in found], "<u4").tobytes())
-        yield cols | {"ids": ids, "sizes": sizes}
+            bodies.append(body if joins else None)
+            sizes += [] if joins else [None]
+        yield cols | {"body": bodies, "ids": ids, "sizes": sizes}
 
     return run
 
 
-def _join_document(path: str):
+def _join_document(path: str, decoded: bool):
     def run(table: pa.Table) -> pa.Table:
         enc = encoder(path)
-        rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
         out, word = [], []
 
         def flush():
-            parts = [list(zip(np.frombuffer(r["ids"], "<u4").tolist(), np.frombuffer(r["sizes"], "<u4").tolist(), strict=True)) for r in word]
-            text = "".join(r["body"] for r in word)
-            at = [0]
-            for r in word:
-                at.append(at[-1] + len(r["body"]))
-            while len(parts) > 1:
-                joined, places = [], []
-                for i in range(0, len(parts), 2):
-                    places.append(at[i])
-                    joined.append(enc.join(text, at[i], parts[i], at[i + 1], parts[i + 1], at[i + 2], True) if i + 1 < len(parts) else parts[i])
-                parts, at = joined, [*places, len(text)]
-            out.append(np.array([t for t, _ in parts[0]], "<u4").tobytes())
+            parts = [tuple(np.frombuffer(r[c], "<u4") for c in ("ids", "sizes")) for r in word]
+            cuts = list(accumulate((len(r["body"]) for r in word), initial=0))
+            out.append(enc.joined("".join(r["body"] for r in word), cuts, parts, True)[0].astype("<u4").tobytes())
             word.clear()
 
-        for r in rows:
-            if r["kind"] in ("first", "inner", "last"):
-                word.append(r)
-                if r["kind"] == "last":
-                    flush()
-            else:
-                out.append(r["ids"])
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "ids": pa.array([b"".join(out)], pa.binary())})
+        for batch in table.sort_by("seg").to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                if r["kind"] in ("first", "inner", "last"):
+                    word.append(r)
+                    if r["kind"] == "last":
+                        flush()
+                else:
+                    out.append(r["ids"])
+        ids = b"".join(out)
+        found = {"doc_id": pa.array([table.column("doc_id")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary())}
+        return pa.table(found | ({"decoded": pa.array([enc.decode(ids)], pa.string())} if decoded else {}))
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", long_chars: int = LONG_CHARS, segment: int = SEGMENT_CHARS) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit), in no order."""
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", long_chars: int = LONG_CHARS, segment: int = SEGMENT_CHARS, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit), in no order; with decoded also the text read back from the ids.
+
+    Reading back in the same pass saves a second Python worker a task, with an encoder and a cache of its own.
+    """
     path = path or default_path()
     rows = _columns(docs, id_col, text_col)
     short = rows.where(F.coalesce(F.length("text") <= long_chars, F.lit(True)))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.string())] if decoded else [])])
+    made = "doc_id long, ids binary" + (", decoded string" if decoded else "")
 
     def plain(cols: dict):
         enc = encoder(path)
-        yield {"doc_id": cols["doc_id"], "ids": [enc.encode(t) for t in cols["text"]]}
+        ids = [enc.encode(t) for t in cols["text"]]
+        yield {"doc_id": cols["doc_id"], "ids": ids} | ({"decoded": [enc.decode(x) for x in ids]} if decoded else {})
 
-    whole = short.mapInArrow(by_rows(plain, schema), "doc_id long, ids binary")
+    whole = short.mapInArrow(by_rows(plain, schema, rows=256), made)
     long_rows = rows.where(F.length("text") > long_chars).withColumn("doc_key", F.monotonically_increasing_id())
     parts_schema = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("seg", pa.int64()), ("kind", pa.string()), ("body", pa.string())])
     ddl = "doc_key long, doc_id long, seg long, kind string, body string"
-    parts = long_rows.mapInArrow(by_rows(_segments(path, segment), parts_schema), ddl).repartition("doc_key", "seg")
+    parts = long_rows.mapInArrow(by_rows(_segments(path, segment), parts_schema, rows=1), ddl).repartition("doc_key", "seg")
     full = pa.schema([*parts_schema, ("ids", pa.binary()), ("sizes", pa.binary())])
-    encoded = parts.mapInArrow(by_rows(_encode_segments(path), full), ddl + ", ids binary, sizes binary")
-    joined = encoded.groupBy("doc_key").applyInArrow(_join_document(path), "doc_id long, ids binary")
+    encoded = parts.mapInArrow(by_rows(_encode_segments(path), full, rows=256), ddl + ", ids binary, sizes binary")
+    joined = encoded.groupBy("doc_key").applyInArrow(_join_document(path, decoded), made)
     return whole.unionByName(joined)
 
 
@@ -165,11 +165,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
         enc = encoder(path)
         yield {"doc_id": cols["doc_id"], "ids": cols["ids"], "decoded": [enc.decode(x) for x in cols["ids"]]}
 
-    return encoded.mapInArrow(by_rows(run, schema), "doc_id long, ids binary, decoded string")
+    return encoded.mapInArrow(by_rows(run, schema, rows=256), "doc_id long, ids binary, decoded string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    read = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True)
     return read.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -21,6 +21,8 @@ _LETTER = "a-zªµºß-öø-ı"
 _DIGIT = "0-9²³¹¼-¾"
 WORD = re.compile(rf"[{_LETTER}]+|[{_DIGIT}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTER}{_DIGIT}]+")
 LONG_WORD = 2048
+#: what Python holds for a word and its ids besides their bytes: two objects and a place in a growing dict
+ENTRY_BYTES = 220
 
 
 def _byte_letters() -> list[str]:
@@ -30,10 +32,14 @@ def _byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: ids, and how many byte letters each one has
+Tokens = tuple[np.ndarray, np.ndarray]
+
+
 class WordEncoder:
     """encode(text) gives ids as little-endian unsigned 32-bit bytes; decode(ids bytes) gives the library's decoded text."""
 
-    def __init__(self, path: str, most_cached: int = 1_000_000):
+    def __init__(self, path: str, cache_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -49,7 +55,7 @@ class WordEncoder:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.letters = _byte_letters()
-        self.most = most_cached
+        self.most, self.held = cache_bytes, 0
         self.cache: dict[str, bytes] = {}
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names = [(self.tok.id_to_token(i) or "") for i in range(size)]
@@ -75,13 +81,22 @@ class WordEncoder:
             return b"".join([cache[r] for r in runs])
         except KeyError:
             pass
-        if len(cache) > self.most:
-            cache.clear()
-        fresh = {r: self._run(r) for r in runs if r not in cache}
+        fresh = {r: self._run(r) for r in set(runs) if r not in cache}
         out = b"".join([cache[r] if r in cache else fresh[r] for r in runs])
-        cache.update((r, ids) for r, ids in fresh.items() if len(r) <= 64)
+        for r, ids in fresh.items():
+            self._keep(r, ids)
         return out
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        """Remembers a short word's ids; all are forgotten when they take more than `cache_bytes`."""
+        if len(word) > 64:
+            return
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+        if self.held > self.most:
+            self.cache.clear()
+            self.held = ENTRY_BYTES + len(word) + len(ids)
+        self.cache[word] = ids
+
     def _run(self, run: str) -> bytes:
         if run.isalpha() and len(run) <= LONG_WORD:
             found = self.ending.tokenize(run if run.isascii() else word_letters(run, self.letters))
@@ -98,9 +113,8 @@ class WordEncoder:
     def encode_word(self, word: str) -> bytes:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            found = self.cache[word] = self._word(word)
+            found = self._word(word)
+            self._keep(word, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -123,32 +137,31 @@ class WordEncoder:
 
     def encode_unsplit(self, word: str, leaf: int = 1024) -> list[int]:
         """Ids of one word of any length."""
-        return [t for t, _ in self.tree(word_letters(word, self.letters), True, leaf)]
+        return self.tree(word_letters(word, self.letters), True, leaf)[0].tolist()
 
-    def tree(self, text: str, ends: bool, leaf: int) -> list[tuple[int, int]]:
-        """(id, length in byte letters) of text; ends: whether the word ends with it. Halves are encoded and then joined."""
-        spans = [(i, min(i + leaf, len(text))) for i in range(0, len(text), leaf)] or [(0, 0)]
-        parts = [self._leaf(text[a:b], ends and b == len(text)) for a, b in spans]
-        at = [a for a, _ in spans] + [len(text)]
+    def tree(self, text: str, ends: bool, leaf: int) -> Tokens:
+        """The tokens of text; ends: whether the word ends with it. Halves are encoded and then joined."""
+        cuts = [*range(0, len(text), leaf), len(text)]
+        return self.joined(text, cuts, [self._leaf(text[a:b], ends and b == len(text)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], ends)
+
+    def joined(self, text: str, cuts: list[int], parts: list[Tokens], ends: bool) -> Tokens:
+        """Neighbours of parts, the tokens of text between cuts, are joined until one is left."""
         while len(parts) > 1:
-            joined, places = [], []
-            for i in range(0, len(parts), 2):
-                places.append(at[i])
-                if i + 1 < len(parts):
-                    joined.append(self.join(text, at[i], parts[i], at[i + 1], parts[i + 1], at[i + 2], ends))
-                else:
-                    joined.append(parts[i])
-            parts, at = joined, [*places, len(text)]
-        return parts[0]
-
-    def _leaf(self, text: str, ends: bool) -> list[tuple[int, int]]:
-        found = [(t.id, len(t.value)) for t in (self.ending if ends else self.open).tokenize(text)] if text else []
+            pairs = range(0, len(parts) - 1, 2)
+            rest = parts[-1:] if len(parts) % 2 else []
+            parts = [self.join(text, parts[i], cuts[i + 1], parts[i + 1], ends) for i in pairs] + rest
+            cuts = [*cuts[:-1:2], cuts[-1]]
+        return parts[0] if parts else self._leaf("", ends)
+
+    def _leaf(self, text: str, ends: bool) -> Tokens:
+        found = (self.ending if ends else self.open).tokenize(text) if text else []
+        sizes = np.array([len(t.value) for t in found], np.uint32)
         if ends and found:
-            found[-1] = (found[-1][0], found[-1][1] - len("</w>"))
-        return found
+            sizes[-1] -= len("</w>")
+        return np.array([t.id for t in found], np.uint32), sizes
 
-    def join(self, text: str, lo: int, left: list, mid: int, right: list, hi: int, ends: bool) -> list[tuple[int, int]]:
-        """The encoding of text[lo:hi] from those of its halves.
+    def join(self, text: str, left: Tokens, mid: int, right: Tokens, ends: bool) -> Tokens:
+        """The tokens of a stretch of text from those of its halves, which meet at mid.
 
         The last k tokens of the left and the first k of the right half are encoded together, with k growing, until
         the first token of the result is the left half's and the last one is the right half's. Each two neighbours of
@@ -156,16 +169,16 @@ class WordEncoder:
         takes the same merges in the same order as alone until one crosses into a third; so none ever does, and the
         whole is what encoding it at once gives. With k as long as a half, it is encoded from that end.
         """
-        k = 4
+        n, k = len(left[0]), 4
         while True:
-            a, b = min(k, len(left)), min(k, len(right))
-            start = mid - sum(n for _, n in left[len(left) - a :])
-            stop = mid + sum(n for _, n in right[:b])
-            window = self._leaf(text[start:stop], ends and stop == len(text))
-            left_ok = a == len(left) or (window and window[0] == left[len(left) - a])
-            right_ok = b == len(right) or (window and window[-1] == right[b - 1])
+            a, b = n - min(k, n), min(k, len(right[0]))
+            start, stop = mid - int(left[1][a:].sum()), mid + int(right[1][:b].sum())
+            new = self._leaf(text[start:stop], ends and stop == len(text))
+            # places: of the first and the last token that both encodings have, if they have them
+            left_ok = a == 0 or (len(new[0]) > 0 and all(x[0] == y[a] for x, y in zip(new, left, strict=True)))
+            right_ok = b == len(right[0]) or (len(new[0]) > 0 and all(x[-1] == y[b - 1] for x, y in zip(new, right, strict=True)))
             if left_ok and right_ok:
-                return left[: len(left) - a] + window + right[b:]
+                return tuple(np.concatenate([x[:a], w, y[b:]]) for x, w, y in zip(left, new, right, strict=True))
             k *= 2
 
 
