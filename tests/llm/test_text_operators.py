@@ -138,33 +138,56 @@ def pages(spark, rows):
 EVIL = warc.record(77, "http://evil", "inner", None) + "\n"
 
 
-def test_warc_round_trip(spark, tmp_path):
-    html = ["<p>a</p>", "<p>a</p>", None, "", "é🙂\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n", EVIL, EVIL * 3, "WARC/1.1\r\n" * 50, "x" * 40000, "line\nfeed\r\n"]
-    rows = [(i, f"http://h/{i} \n", h) for i, h in enumerate(html)] + [(3, None, "again"), (3, None, "again"), (20, "u", "<p>a</p>")]
+HTML = ["<p>a</p>", "<p>a</p>", None, "", "é🙂\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n", EVIL, EVIL * 3, "WARC/1.1\r\n" * 50, "x" * 40000, "line\nfeed\r\n", (EVIL + "y" * 700) * 9]
+
+
+@pytest.mark.parametrize(("compression", "part_bytes"), [("gzip", 1 << 27), ("none", 1 << 27), ("none", 3000), ("none", 400)])
+def test_warc_round_trip(spark, tmp_path, compression, part_bytes):
+    """Whole files and parts that begin in the middle of records which hold records."""
+    rows = [(i, f"http://h/{i} \n", h) for i, h in enumerate(HTML)] + [(3, None, "again"), (3, None, "again"), (20, "u", "<p>a</p>"), (None, "u", "<p>b</p>")]
     path = str(tmp_path / "w")
-    warc.write_warc(pages(spark, rows), path, file_bytes=5000)
-    got = sorted(warc.read_warc(spark, path).collect(), key=lambda r: (r.page_id, r.payload_digest))
+    warc.write_warc(pages(spark, rows).coalesce(2), path, file_bytes=50_000, compression=compression)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = sorted(warc.read_warc(spark, path).collect(), key=lambda r: (r.page_id or -1, r.payload_digest))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     assert len(got) == len(rows)
     smallest = {}
     for i, _, h in rows:
-        smallest[h or ""] = min(i, smallest.get(h or "", i))
-    for r, (i, _, h) in zip(got, sorted(rows, key=lambda x: (x[0], warc.digest((x[2] or "").encode()))), strict=True):
+        if i is not None:
+            smallest[h or ""] = min(i, smallest.get(h or "", i))
+    for r, (i, _, h) in zip(got, sorted(rows, key=lambda x: (x[0] or -1, warc.digest((x[2] or "").encode()))), strict=True):
         raw = (h or "").encode()
         assert (r.page_id, r.payload_bytes, r.payload_digest) == (i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
-        first = smallest[h or ""]
+        first = smallest.get(h or "", i)
         assert (r.record_type, r.refers_to) == (("response", None) if first == i else ("revisit", first))
         assert r.payload is None if r.refers_to is not None else bytes(r.payload) == raw
 
 
+def test_warc_of_no_pages_and_broken_files(spark, tmp_path):
+    empty = str(tmp_path / "none")
+    warc.write_warc(pages(spark, [(1, "u", "a")]).where("false"), empty)
+    assert warc.read_warc(spark, empty).count() == 0
+    whole = (warc.record(1, None, EVIL, None) + "\n" + warc.record(2, None, "b", None) + "\n").encode()
+    for name, data in (("short", whole[:-1]), ("long", whole + b"x"), ("late", b"x" + whole)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(Exception, match=r"chain of records is broken|no record at the start"):
+            warc.read_warc(spark, str(tmp_path / name)).collect()
+
+
 def test_warc_chain_rejects_what_payloads_hold():
-    one = (warc.record(1, None, EVIL + EVIL, None) + "\n").encode()
-    data = one + (warc.record(2, None, "b", None) + "\n").encode()
-    offsets, successors = warc.candidates(data)
-    assert len(offsets) == 4
-    kept = warc.chain(offsets, successors, len(data))
-    assert [offsets[i] for i in np.flatnonzero(kept)] == [0, len(one)]
+    # candidates at 10, 40, 60 and 90; what begins at 40 is inside the first record, as is what leads on from it
+    starts, to = np.array([10, 40, 60, 90]), np.array([60, 55, 90, 120])
+    assert warc.reached(starts, to, 10, 120).tolist() == [True, False, True, True]
+    assert warc.exits(starts, to).tolist() == [120, -1, 120, 120]
+    assert warc.exits(starts[:2], to[:2]).tolist() == [60, 55]
     with pytest.raises(ValueError):
-        warc.chain(*warc.candidates(data[:-1]), len(data) - 1)
+        warc.reached(starts, to, 10, 119)
 
 
 def test_chat_round_trip_and_loss(spark):
