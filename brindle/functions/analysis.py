@@ -10,12 +10,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .metaphone import double_metaphone
+from .stemmers import danish, german, norwegian, spanish, swedish
+
 SEPARATORS = " \t,./(){}[]:;~!@#$%^&*-=+|'`\"<>?"
 STOPWORDS = ("a is the an and are as at be but by for if in into it no not of on or such that their then there these they this to was will with").split()
 _CLASS = "".join("\\" + c if c in "\\]^-[&" else c for c in SEPARATORS) + "\\x00-\\x1f"
 TOKEN_PATTERN = rf"(?:\\.|[^{_CLASS}\\])+"
 MULTI_VALUE_GAP = 100
 MIN_STEM_LENGTH = 4
+MIN_PHONETIC_LENGTH = 3
 
 
 def tokens(col: Column, stopwords: list[str] | None = None) -> Column:
@@ -145,32 +149,39 @@ def stem(word: str) -> str:
 
 
 #: language -> stemmer; further languages are put in by the caller
-STEMMERS: dict[str, Callable[[str], str]] = {"english": stem}
+STEMMERS: dict[str, Callable[[str], str]] = {"english": stem, "swedish": swedish, "danish": danish, "norwegian": norwegian, "german": german, "spanish": spanish}
+
+
+def stems(col: Column, language: str | Column = "english", least: int = MIN_STEM_LENGTH) -> Column:
+    """The stem of each token of an array, by one language or one a row; tokens shorter than `least` stay as they are."""
+
+    def of(words, language):
+        make = STEMMERS.get((language or "").lower())
+        return None if words is None else list(words) if make is None else [make(w) if len(w) >= least else w for w in words]
 
+    if isinstance(language, str):
 
-def stems(col: Column, language: str = "english") -> Column:
-    """The stem of each token of an array; tokens shorter than 4 characters stay as they are."""
-    make = STEMMERS.get(language.lower(), lambda w: w)
+        @F.pandas_udf("array<string>")
+        def run(x: pd.Series) -> pd.Series:
+            return x.map(lambda ws: of(ws, language))
+
+        return run(col)
 
     @F.pandas_udf("array<string>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda ws: None if ws is None else [make(w) if len(w) >= MIN_STEM_LENGTH else w for w in ws])
+    def run_each(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([of(ws, lang) for ws, lang in zip(x, y, strict=True)], dtype=object)
 
-    return run(col)
+    return run_each(col, language)
 
 
 def phonetic(word: str) -> str:
-    """A compact double-metaphone-like primary code for English words."""
-    w = re.sub(r"[^A-Z]", "", word.upper())
-    for a, b in ((r"^(KN|GN|PN|WR|PS)", lambda m: m[0][1]), (r"^X", "S"), (r"^WH", "W"), (r"MB$", "M"), (r"SCH", "SK"), (r"TCH", "X"), (r"[CST]IA", "XA"), (r"[ST]IO", "XO"), (r"CH", "X"), (r"SH", "X"), (r"TH", "0"), (r"PH", "F"), (r"GH(?=[^AEIOUY]|$)", ""), (r"DG(?=[EIY])", "J"), (r"C(?=[EIY])", "S"), (r"C", "K"), (r"G(?=[EIY])", "J"), (r"Q", "K"), (r"X(?!$)(?=[AEIOUY])", "X"), (r"Z", "S"), (r"V", "F"), (r"D", "T"), (r"G", "K"), (r"W(?![AEIOUY])", ""), (r"Y(?![AEIOUY])", ""), (r"(?<=[AEIOUY])H(?![AEIOUY])", "")):
-        w = re.sub(a, b, w)
-    w = re.sub(r"(.)\1+", r"\1", w)
-    return (("A" if w[:1] in "AEIOUY" and w else w[:1]) + re.sub(r"[AEIOUYH]", "", w[1:]))[:4] if w else ""
+    """The primary double metaphone code of a word."""
+    return double_metaphone(word)[0]
 
 
-def phonetics(col: Column) -> Column:
+def phonetics(col: Column, least: int = MIN_PHONETIC_LENGTH) -> Column:
     @F.pandas_udf("array<string>")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda ws: None if ws is None else [phonetic(w) if len(w) >= 3 else w for w in ws])
+        return x.map(lambda ws: None if ws is None else [phonetic(w) if len(w) >= least else w for w in ws])
 
     return run(col)

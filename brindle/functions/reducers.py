@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,12 +64,11 @@ def stddev(args, resolve):
 
 
 def quantile(args, resolve):
+    """Over the elements where the property is an array: the pipeline explodes it before."""
     x, q = resolve(_name(args[0])), float(args[1])
     if not 0 <= q <= 1:
         raise ExpressionError("QUANTILE takes a quantile from 0 to 1")
     accuracy = max(10_000, int(float(args[2]))) if len(args) > 2 else 10_000
-    if x.kind == "array":
-        raise ExpressionError("QUANTILE over an array: group by the array first")
     return F.coalesce(F.percentile_approx(number(x), q, accuracy), F.lit(NAN))
 
 
@@ -110,12 +110,12 @@ def first_value(args, resolve):
     return F.max_by(x.col, by) if down else F.min_by(x.col, by)
 
 
-def random_sample(args, resolve, rank: Column | None = None):
-    """n values of a group: those that the pipeline's random ranking puts first, so no more than n are gathered."""
+def random_sample(args, resolve):
+    """What the pipeline keeps of a group: n values in a random order."""
     x, n = resolve(_name(args[0])), int(float(args[1]))
     if not 0 < n <= SAMPLE_LIMIT:
         raise ExpressionError(f"RANDOM_SAMPLE takes 1 to {SAMPLE_LIMIT}")
-    return F.collect_list(F.when(rank <= n, x.col))
+    return Kept(x.col, [(F.rand(0), False)], 0, n, skip_null=True)
 
 
 def parse_collect(args: list[str]) -> dict:
@@ -150,38 +150,29 @@ def parse_collect(args: list[str]) -> dict:
     return out
 
 
-def collect_order(args: list[str], resolve) -> list[Column] | None:
-    """The order in which a COLLECT that keeps only its first rows needs them ranked."""
-    spec = parse_collect(list(args))
-    if not spec["sort"] or spec["distinct"]:
-        return None
-    return [resolve(f).col.desc_nulls_last() if down else resolve(f).col.asc_nulls_last() for f, down in spec["sort"]]
+@dataclass
+class Kept:
+    """A reducer that keeps rows `offset` to `offset + n` of a group in an order; the pipeline ranks them, in parts first."""
+
+    value: Column
+    #: columns, and whether each one descends
+    order: list[tuple[Column, bool]]
+    offset: int
+    n: int
+    distinct: bool = False
+    skip_null: bool = False
 
 
-def collect(args, resolve, all_fields: list[str] | None = None, rank: Column | None = None):
-    """rank: the row's place in its group by the order asked for; then only rows that stay are gathered."""
+def collect(args, resolve, all_fields: list[str] | None = None):
+    """An aggregate, or with SORTBY or LIMIT what is kept. Without them the group itself is the result, whatever its size."""
     spec = parse_collect(list(args))
     fields = spec["fields"] if spec["fields"] is not None else list(all_fields or [])
     row = F.struct(*[resolve(f).col.alias(f) for f in fields])
-    offset, n = spec["limit"] or (0, COLLECT_DEFAULT if spec["sort"] else None)
-    if not spec["sort"]:
-        got = F.collect_set(row) if spec["distinct"] else F.collect_list(row)
-        return got if n is None else F.slice(got, offset + 1, n)
-    if rank is not None:
-        item = F.struct(rank.alias("r"), row.alias("row"))
-        return F.transform(F.sort_array(F.collect_list(F.when((rank > offset) & (rank <= offset + n), item))), lambda s: s["row"])
-    keys = [resolve(f).col for f, _ in spec["sort"]]
-    got = F.collect_set(F.struct(*[k.alias(f"k{j}") for j, k in enumerate(keys)], row.alias("row")))
-
-    def order(a: Column, b: Column) -> Column:
-        out = F.lit(0)
-        for j in reversed(range(len(keys))):
-            x, y = a[f"k{j}"], b[f"k{j}"]
-            less = F.lit(1 if spec["sort"][j][1] else -1)
-            out = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, less).when(x > y, -less).otherwise(out)
-        return out
-
-    return F.transform(F.slice(F.array_sort(got, order), offset + 1, n), lambda s: s["row"])
+    if not spec["sort"] and spec["limit"] is None:
+        return F.collect_set(row) if spec["distinct"] else F.collect_list(row)
+    offset, n = spec["limit"] or (0, COLLECT_DEFAULT)
+    order = [(resolve(f).col, down) for f, down in spec["sort"]]
+    return Kept(row, order, offset, n, spec["distinct"])
 
 
 REDUCERS: dict[str, tuple[int, int, Callable]] = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,27 @@ def highlight(col: Column, words: list[str], opening: str = "<b>", closing: str
     return F.regexp_replace(col, rf"(?iu)(?<=^|[{_EDGE}\s])({some})(?=$|[{_EDGE}\s])", quote(opening) + "$1" + quote(closing))
 
 
-def highlighted(df: DataFrame, words: list[str], fields: list[str] | None = None, tags: tuple[str, str] = ("<b>", "</b>")) -> DataFrame:
-    return df.withColumns({f: highlight(F.col(f"`{f}`"), words, *tags) for f in _text_fields(df, fields)})
+def highlight_stems(col: Column, words: list[str], stemmer: Callable[[str], str], least: int, opening: str, closing: str) -> Column:
+    """As highlight(), with each word too whose stem is that of one of `words`."""
+    exact, roots = set(words), {stemmer(w) for w in words if len(w) >= least}
+    word = re.compile(rf"[^{_EDGE}\s]+")
+
+    def mark(m: re.Match) -> str:
+        t = m[0].lower()
+        return f"{opening}{m[0]}{closing}" if t in exact or (len(t) >= least and stemmer(t) in roots) else m[0]
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else word.sub(mark, t))
+
+    return run(col)
+
+
+def highlighted(df: DataFrame, words: list[str], fields: list[str] | None = None, tags: tuple[str, str] = ("<b>", "</b>"), stemmers: dict[str, Callable] | None = None, least: int = MIN_STEM_LENGTH) -> DataFrame:
+    """stemmers: field -> stemmer of those fields whose words match by their stems."""
+    stemmers = stemmers or {}
+    of = lambda f: highlight_stems(F.col(f"`{f}`"), words, stemmers[f], least, *tags) if f in stemmers and words else highlight(F.col(f"`{f}`"), words, *tags)
+    return df.withColumns({f: of(f) for f in _text_fields(df, fields)})
 
 
 def fragments(text: str, words: set[str], most: int = 3, size: int = 20, separator: str = "... ") -> str:

@@ -10,12 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import build
-from ..functions.reducers import REDUCERS, collect, collect_order, default_alias, random_sample
+from ..functions.reducers import REDUCERS, Kept, collect, default_alias, quantile
 from ..functions.scalars import ExpressionError
 from ..functions.values import Typed, kind_of, truth
 
 DEFAULT_LIMIT = 10
 MAX_SORT_KEYS = 8
+#: up to so many rows of a group Spark drops later ones before it deals them out (spark.sql.optimizer.windowGroupLimitThreshold)
+GROUP_LIMIT = 1000
+SALTS = 64
 
 
 def quoted(name: str) -> Column:
@@ -36,6 +39,16 @@ def resolver(df: DataFrame, strict: bool = False) -> Callable[[str], Typed]:
     return resolve
 
 
+def beside(groups: DataFrame, other: DataFrame, names: list[str], alias: str) -> DataFrame:
+    """groups with a column of another table of the same groups, whose keys are __g0, __g1, ...; null keys are equal."""
+    if not names:
+        return groups.withColumn("__one", F.lit(1)).join(other.select(F.lit(1).alias("__one"), alias), "__one", "left").drop("__one")
+    on = F.lit(True)
+    for j, k in enumerate(names):
+        on = on & quoted(k).eqNullSafe(F.col(f"__g{j}"))
+    return groups.join(other, on, "left").drop(*[f"__g{j}" for j in range(len(names))])
+
+
 @dataclass
 class Pipeline:
     """Steps in the order they are called; each returns the pipeline. `unique` is the key that settles ties."""
@@ -45,6 +58,8 @@ class Pipeline:
     functions: dict = field(default_factory=dict)
     strict: bool = False
     reducers: dict = field(default_factory=dict)
+    #: a GROUPBY that makes more groups is an error; negative: any number
+    most_groups: int = -1
     _sorted: bool = False
     _limited: bool = False
 
@@ -80,34 +95,56 @@ class Pipeline:
                 df = df.withColumn(f"__key{j}", F.explode_outer(quoted(k)))
         group = [quoted(exploded.get(k, k)).alias(k) for k in names]
         resolve, known = resolver(df), {**REDUCERS, **self.reducers}
-        aggs = []
+        aggs, apart = [], []
         for name, args, alias in wanted:
             if name not in known:
                 raise ExpressionError(f"no reducer {name}")
             low, high, make = known[name]
             if not low <= len(args) <= high:
                 raise ExpressionError(f"{name} takes {low} to {high} arguments, not {len(args)}")
-            if make in (collect, random_sample):
-                # ranks within a group come from a sort that can spill, so a large group is never gathered whole
-                order = collect_order(args, resolve) if make is collect else [F.col("__random").asc()]
-                rank = None
-                if order is not None:
-                    if make is random_sample and "__random" not in df.columns:
-                        df = df.withColumn("__random", F.rand(0))
-                    ties = [quoted(self.unique).asc()] if self.unique and self.unique in df.columns else []
-                    rank = F.col(f"__rank{len(aggs)}")
-                    df = df.withColumn(f"__rank{len(aggs)}", F.row_number().over(W.partitionBy(*[quoted(exploded.get(k, k)) for k in names] or [F.lit(1)]).orderBy(*order, *ties)))
-                made = collect(args, resolve, [c for c in self.df.columns if not c.startswith("__")], rank) if make is collect else random_sample(args, resolve, rank)
+            if make is quantile and resolve(args[0].lstrip("@")).kind == "array":
+                one = df.withColumn("__element", F.explode_outer(resolve(args[0].lstrip("@")).col))
+                made = one.groupBy(*[quoted(exploded.get(k, k)).alias(f"__g{j}") for j, k in enumerate(names)]).agg(make(["__element", *args[1:]], resolver(one)).alias(alias))
+                apart.append((alias, made))
+                continue
+            made = make(args, resolve, [c for c in self.df.columns if not c.startswith("__")]) if make is collect else make(args, resolve)
+            if isinstance(made, Kept):
+                apart.append((alias, self._kept(df, [quoted(exploded.get(k, k)) for k in names], made, alias)))
             else:
-                made = make(args, resolve)
-            aggs.append(made.alias(alias))
-        if aggs:
-            self.df = df.groupBy(*group).agg(*aggs)
-        else:
+                aggs.append(made.alias(alias))
+        if not wanted:
             self.df = df.select(*group).distinct()
+        else:
+            out = df.groupBy(*group).agg(*(aggs or [F.count(F.lit(1)).alias("__rows")]))
+            for alias, other in apart:
+                out = beside(out, other, names, alias)
+            self.df = out.select(*map(quoted, names), *[quoted(a) for _, _, a in wanted])
+        if 0 <= self.most_groups < self.df.limit(self.most_groups + 1).count():
+            raise ExpressionError(f"GROUPBY makes more than {self.most_groups} groups")
         self.unique, self._sorted = None, False
         return self
 
+    def _kept(self, df: DataFrame, group: list[Column], kept: Kept, alias: str) -> DataFrame:
+        """A group's rows in order from an offset on, as an array.
+
+        Rows are ranked and those beyond the last one wanted are dropped, which Spark does in each task before it deals
+        out the rest; where more are wanted than it does that for, each group is first ranked in SALTS parts.
+        """
+        keys, by = [f"__g{j}" for j in range(len(group))], [f"__o{j}" for j in range(len(kept.order))]
+        ties = ["__tie"] if self.unique and self.unique in df.columns and not kept.distinct else []
+        made = df.select(*[g.alias(k) for g, k in zip(group, keys, strict=True)], *[c.alias(k) for (c, _), k in zip(kept.order, by, strict=True)], kept.value.alias("__value"), *[quoted(self.unique).alias(t) for t in ties])
+        made = made.where("__value IS NOT NULL") if kept.skip_null else made
+        made = made.distinct() if kept.distinct else made
+        order = [F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_last() for (_, down), k in zip(kept.order, by, strict=True)]
+        order += [F.col(t).asc() for t in ties]
+        order = order or [F.xxhash64(F.to_json(F.struct("__value"))).asc()]
+        last = kept.offset + kept.n
+        first = lambda rows, *more: rows.withColumn("__rank", F.row_number().over(W.partitionBy(*keys, *more).orderBy(*order))).where(F.col("__rank") <= last)
+        if last > GROUP_LIMIT:
+            made = first(made.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "__salt").drop("__salt", "__rank")
+        made = first(made).where(F.col("__rank") > kept.offset)
+        return made.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__rank", "__value"))), lambda x: x["__value"]).alias(alias))
+
     def sortby(self, keys: list[tuple[str, bool]], most: int | None = None) -> Pipeline:
         """keys: (property, descending). A missing value comes last either way; ties go to the smaller key."""
         if len(keys) > MAX_SORT_KEYS:

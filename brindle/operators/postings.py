@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from ..plans.catalog import IndexDef
 
 BUCKETS = 64
+STEM = "\x01"
+#: a query's candidates are broadcast up to so many keys; with more, the collection is read without them
+MOST_CANDIDATES = 1_000_000
 
 
-def postings(index: IndexDef) -> DataFrame:
-    """term, field, __key, frequency, positions: made without a shuffle of texts, a row for each term of a document."""
+def postings(index: IndexDef, stems: bool = False) -> DataFrame:
+    """term, field, __key, frequency, positions. stems: also rows of the stems, named by STEM and the stem.
+
+    Each token is a row once; a document's rows of a term meet in its own task, before they are dealt out.
+    """
     df = index.prepared()
-    fields = index.of_type("TEXT")
-    parts = []
-    for f in fields:
-        tok = F.col(f"__tok_{f.name}")
-        terms = F.array_distinct(F.filter(tok, lambda t: t != ""))
-        row = df.select("__key", tok.alias("tok"), F.explode(terms).alias("term"))
-        every = F.sequence(F.lit(0), F.size("tok") - 1)
-        places = F.filter(every, lambda i: F.get(F.col("tok"), i) == F.col("term"))
-        row = row.withColumn("positions", F.transform(places, lambda i: i + 1))
-        parts.append(row.select("term", F.lit(f.name).alias("field"), "__key", (F.size("positions") * max(1, int(f.weight))).alias("frequency"), "positions"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for f in index.of_type("TEXT"):
+        columns = [(f"__tok_{f.name}", "")] + ([(f"__stem_{f.name}", STEM)] if stems and f"__stem_{f.name}" in df.columns else [])
+        for column, mark in columns:
+            row = df.select("__key", F.posexplode(column).alias("at", "token")).where("token != ''")
+            row = row.groupBy(F.concat(F.lit(mark), F.col("token")).alias("term"), "__key").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+            row = row.select("term", F.lit(f.name).alias("field"), "__key", (F.size("positions") * max(1, int(f.weight))).alias("frequency"), "positions")
+            out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -40,11 +41,77 @@ def doc_stats(index: IndexDef) -> DataFrame:
 
 def write_postings(index: IndexDef, path: str, buckets: int = BUCKETS) -> None:
     """Partitioned by a hash of the term, so a query on a term reads one partition. The number of buckets is kept with them."""
-    table = postings(index).withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
-    table.repartition(buckets, "bucket", F.pmod(F.xxhash64("__key"), F.lit(4))).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/postings")
+    table = postings(index, stems=True).withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
+    dealt = table.repartition(buckets, "bucket", F.pmod(F.xxhash64("__key"), F.lit(4))).sortWithinPartitions("bucket", "term", "__key")
+    dealt.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{path}/postings")
     doc_stats(index).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+class Postings:
+    """Written postings as a query reads them: candidates for its tree, and the statistics of its leaves."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.table, self.stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+    def rows(self, r, node) -> DataFrame | None:
+        """The postings of a leaf in its fields, or None where they don't tell all that it matches."""
+        from ..plans import query_language as q
+
+        out = None
+        for name in r.fields_of(node):
+            more = r.extra(node, name)
+            if more and not more[0].startswith("__stem"):
+                return None
+            if isinstance(node, q.Token):
+                terms = [*r.terms(node), *([STEM + more[1]] if more else [])]
+                here = F.lit(False)
+                for t in terms:
+                    here = here | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.col("buckets")))
+                mine = self.table.where(here & F.col("term").isin(terms))
+            else:
+                mine = self.table.where(~F.col("term").startswith(STEM) & r.hit(node, name)(F.col("term")))
+            mine = mine.where(F.col("field") == name)
+            out = mine if out is None else out.unionByName(mine)
+        return out
+
+    def candidates(self, r, node) -> DataFrame | None:
+        """__key of all documents that a tree can match, or None where postings don't bound them."""
+        from ..plans import query_language as q
+
+        if isinstance(node, (q.Token, q.Prefix, q.Fuzzy, q.WildcardQuery)):
+            rows = self.rows(r, node)
+            return None if rows is None else rows.select("__key").distinct()
+        if isinstance(node, q.Phrase):
+            known = [c for c in (self.candidates(r, k) for k in node.children) if c is not None]
+            out = known[0] if known else None
+            for c in known[1:]:
+                out = out.join(c, "__key", "left_semi")
+            return out
+        if isinstance(node, q.Union):
+            known = [self.candidates(r, k) for k in node.children]
+            if any(c is None for c in known):
+                return None
+            out = known[0]
+            for c in known[1:]:
+                out = out.unionByName(c)
+            return out.distinct()
+        return self.candidates(r, node.child) if isinstance(node, q.Vector) and node.child is not None else None
+
+    def counted(self, r, nodes: list) -> tuple[int, int, list[int]] | None:
+        """Documents, their total length, and for each leaf the documents that have it; None where postings can't tell."""
+        rows = [self.rows(r, n) for n in nodes]
+        if any(x is None for x in rows):
+            return None
+        n, total = self.stats.agg(F.count("*"), F.sum("length")).first()
+        each = None
+        for j, x in enumerate(rows):
+            keys = x.select(F.lit(j).alias("leaf"), "__key").distinct()
+            each = keys if each is None else each.unionByName(keys)
+        found = {} if each is None else {row["leaf"]: row["n"] for row in each.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+        return n, total or 0, [found.get(j, 0) for j in range(len(nodes))]
+
+
 def read_terms(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """The postings of a few terms; the partitions of other terms are pruned."""
     here = F.lit(False)

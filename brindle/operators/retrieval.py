@@ -7,10 +7,11 @@ whole collection (document count, lengths, document frequencies) is one more sca
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import analysis, geo, geometry
 from ..plans import query_language as q
@@ -26,6 +27,7 @@ class Options:
     inorder: bool = False
     min_prefix: int = 2
     max_expansions: int | None = None
+    language: str | None = None
     expanders: dict = field(default_factory=dict)
 
 
@@ -36,6 +38,7 @@ class Retrieval:
         self.index, self.df, self.options = index, df, options or Options()
         self.text = [f.name for f in index.of_type("TEXT")]
         self.distances: dict[str, Column] = {}
+        self.expansions: dict[int, list[str]] = {}
 
     # -- text ------------------------------------------------------------------------------------------------------
 
@@ -49,31 +52,68 @@ class Retrieval:
     def hit(self, node: q.Node, name: str):
         """A predicate over one token (a Column to a Column) and, for stems and codes, over the columns beside it."""
         if isinstance(node, q.Token):
-            terms = [node.term]
-            if not node.verbatim and not self.options.verbatim:
-                terms += [t for t in self.index.synonyms.get(node.term, ()) if t != node.term]
-                for expand in self.options.expanders.values():
-                    terms += [t for t in expand(node.term) if t not in terms]
+            terms = self.terms(node)
             return lambda t: t.isin(terms) if len(terms) > 1 else t == terms[0]
         if isinstance(node, q.Prefix):
             if node.kind == "prefix" and len(node.term) < self.options.min_prefix:
                 return lambda t: F.lit(False)
-            return affix(node.kind, node.term)
-        if isinstance(node, q.Fuzzy):
-            return lambda t: F.levenshtein(t, F.lit(node.term), node.distance) >= 0
-        if isinstance(node, q.WildcardQuery):
-            return like(node.pattern)
-        raise q.QueryError(f"{type(node).__name__} isn't a term")
+            made = affix(node.kind, node.term)
+        elif isinstance(node, q.Fuzzy):
+            made = lambda t: F.levenshtein(t, F.lit(node.term), node.distance) >= 0
+        elif isinstance(node, q.WildcardQuery):
+            made = like(node.pattern)
+        else:
+            raise q.QueryError(f"{type(node).__name__} isn't a term")
+        return made if self.options.max_expansions is None else self.expanded(node, made)
+
+    def terms(self, node: q.Token) -> list[str]:
+        """What a word stands for: itself, its synonyms and what expanders give."""
+        terms = [node.term]
+        if not node.verbatim and not self.options.verbatim:
+            terms += [t for t in self.index.synonyms.get(node.term, ()) if t != node.term]
+            for expand in self.options.expanders.values():
+                terms += [t for t in expand(node.term) if t not in terms]
+        return terms
+
+    def expanded(self, node: q.Node, hit):
+        """Only the first `max_expansions` terms, in their order, that a prefix, pattern or fuzzy word finds in the collection."""
+        if id(node) not in self.expansions:
+            every = F.array_distinct(F.flatten(F.array(*[F.filter(F.col(f"__tok_{n}"), hit) for n in self.fields_of(node)])))
+            rows = self.df.select(F.explode(every).alias("term")).distinct().orderBy("term").limit(self.options.max_expansions).collect()
+            self.expansions[id(node)] = [r["term"] for r in rows]
+        terms = self.expansions[id(node)]
+        return lambda t: t.isin(terms) if terms else F.lit(False)
+
+    def needed(self, node: q.Node) -> Column | None:
+        """A cheap test of the raw texts that every match passes, or None: most rows then never become tokens."""
+        if isinstance(node, (q.Token, q.Prefix)):
+            tests = F.lit(False)
+            for name in self.fields_of(node):
+                if self.extra(node, name) or not isinstance(self.df.schema[name].dataType, StringType):
+                    return None
+                text = F.lower(F.col(f"`{name}`"))
+                for term in self.terms(node) if isinstance(node, q.Token) else [node.term]:
+                    # a backslash keeps the next character: such texts are looked at as a whole
+                    tests = tests | text.contains(term)
+                tests = tests | text.contains("\\")
+            return tests
+        if isinstance(node, q.Phrase):
+            known = [c for c in map(self.needed, node.children) if c is not None]
+            return reduce(lambda a, b: a & b, known) if known else None
+        if isinstance(node, q.Union):
+            known = list(map(self.needed, node.children))
+            return None if not known or any(c is None for c in known) else reduce(lambda a, b: a | b, known)
+        return self.needed(node.child) if isinstance(node, q.Vector) and node.child is not None else None
 
     def extra(self, node: q.Node, name: str) -> tuple[str, str] | None:
         """The column of stems or codes that a token also matches in, and the value there."""
         f = self.index.field(name)
         if not isinstance(node, q.Token) or node.verbatim or self.options.verbatim:
             return None
-        if node.attrs.get("phonetic", f.phonetic) and f.phonetic and len(node.term) >= 3:
+        if node.attrs.get("phonetic", f.phonetic) and f.phonetic and len(node.term) >= self.index.min_phonetic:
             return f"__phon_{name}", analysis.phonetic(node.term)
-        if not f.nostem and len(node.term) >= analysis.MIN_STEM_LENGTH:
-            make = analysis.STEMMERS.get(self.index.language.lower())
+        if not f.nostem and len(node.term) >= self.index.min_stem:
+            make = analysis.STEMMERS.get((self.options.language or self.index.language).lower())
             if make:
                 return f"__stem_{name}", make(node.term)
         return None
@@ -183,7 +223,7 @@ class Retrieval:
             return geo.within(col(node.name), node.lon, node.lat, node.radius, node.unit)
         if isinstance(node, q.Geometry):
             self.typed(node.name, "GEOSHAPE")
-            return geometry.relates(col(node.name), node.relation, node.wkt)
+            return geometry.relates(col(node.name), node.relation, node.wkt, self.index.field(node.name).coords)
         if isinstance(node, q.Ids):
             return F.col("__key").isin(list(node.keys))
         if isinstance(node, q.Missing):

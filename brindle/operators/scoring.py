@@ -78,8 +78,12 @@ def leaves(node: q.Node) -> list[q.Node]:
     return []
 
 
-def statistics(r: Retrieval, node: q.Node, df: DataFrame, **extra) -> Context:
+def statistics(r: Retrieval, node: q.Node, df: DataFrame, postings=None, **extra) -> Context:
+    """From postings where there are any that tell, else from one scan of the texts."""
     found = leaves(node)
+    known = postings.counted(r, found) if postings is not None else None
+    if known is not None:
+        return Context(r, known[0], known[1], {id(x): k for x, k in zip(found, known[2], strict=True)}, **extra)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(doc_length(r)).alias("len")]
     aggs += [F.count_if(r.frequency(x) > 0).alias(f"df{i}") for i, x in enumerate(found)]
     row = df.agg(*aggs).first()

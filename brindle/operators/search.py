@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.analysis import STOPWORDS
+from ..functions.analysis import STEMMERS, STOPWORDS
 from ..functions.values import Typed
 from ..plans import query_language as q
 from ..plans.catalog import IndexDef
 from . import scoring
 from .pipeline import Pipeline
+from .postings import MOST_CANDIDATES, Postings
 from .retrieval import Options, Retrieval, simplify, terms_of
 from .vector import normalized
 
@@ -55,6 +56,7 @@ class Hits:
     retrieval: Retrieval
     node: q.Node
     index: IndexDef
+    postings: Postings | None = None
 
     @property
     def functions(self) -> dict:
@@ -72,15 +74,24 @@ class Hits:
 
 def retrieve(index: IndexDef, query: Query | str) -> Hits:
     query = Query(query) if isinstance(query, str) else query
+    if query.language and not query.options.language:
+        query.options.language = query.language
     df = index.prepared()
     node = query.tree(index)
     r = Retrieval(index, df, query.options)
-    found = df.where(r.match(node))
+    found, kept = df, None
+    if index.postings:
+        kept = Postings(df.sparkSession, index.postings)
+        near = kept.candidates(r, node)
+        if near is not None and near.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES:
+            found = index.prepared(near)
+    cheap = r.needed(node)
+    found = found.where(r.match(node) if cheap is None else cheap & r.match(node))
     for alias, d in r.distances.items():
         found = found.withColumn(alias, d)
     if isinstance(node, q.Vector) and node.k is not None:
         found = found.orderBy(F.col(f"`{node.alias}`").asc(), F.col("__key").asc()).limit(node.k)
-    return Hits(found, r, node, index)
+    return Hits(found, r, node, index, kept)
 
 
 def scored(hits: Hits, scorer: str = scoring.DEFAULT, alias: str = "__score", payload: bytes | None = None, tanh_factor: int = scoring.TANH_FACTOR, explain: bool = False) -> DataFrame:
@@ -89,7 +100,7 @@ def scored(hits: Hits, scorer: str = scoring.DEFAULT, alias: str = "__score", pa
     if name not in scoring.SCORERS:
         raise ValueError(f"no scorer {scorer}")
     needs = name not in ("DOCSCORE", "HAMMING")
-    context = scoring.statistics(hits.retrieval, hits.node, hits.retrieval.df, payload=payload, tanh_factor=tanh_factor) if needs else scoring.Context(hits.retrieval, payload=payload)
+    context = scoring.statistics(hits.retrieval, hits.node, hits.retrieval.df, hits.postings, payload=payload, tanh_factor=tanh_factor) if needs else scoring.Context(hits.retrieval, payload=payload)
     columns = {alias: scoring.SCORERS[name](context, hits.node)}
     if explain:
         columns["__explain"] = scoring.explained(context, hits.node)
@@ -118,6 +129,7 @@ def search(
     with_payloads: bool = False,
     explain_score: bool = False,
     payload: bytes | None = None,
+    tanh_factor: int = scoring.TANH_FACTOR,
     highlight: dict | None = None,
     summarize: dict | None = None,
 ) -> DataFrame:
@@ -130,7 +142,7 @@ def search(
     by_score = sortby is None and not knn
     df = hits.df
     if by_score or with_scores or explain_score:
-        df = scored(hits, scorer, payload=payload, explain=explain_score)
+        df = scored(hits, scorer, payload=payload, tanh_factor=tanh_factor, explain=explain_score)
     if sortby:
         name, down = sortby
         order = [F.col(f"`{name}`").desc_nulls_last() if down else F.col(f"`{name}`").asc_nulls_last(), F.col("__key").asc()]
@@ -148,10 +160,13 @@ def search(
         from .highlight import highlighted, summarized
 
         words = terms_of(hits.node)
+        if not hits.retrieval.options.verbatim:
+            words = list(dict.fromkeys([*words, *(o for w in words for o in index.synonyms.get(w, ()))]))
         if summarize is not None:
             df = summarized(df, words, **summarize)
         if highlight is not None:
-            df = highlighted(df, words, **highlight)
+            make = None if hits.retrieval.options.verbatim else STEMMERS.get((hits.retrieval.options.language or index.language).lower())
+            df = highlighted(df, words, **highlight, stemmers={f.name: make for f in index.of_type("TEXT") if make and not f.nostem}, least=index.min_stem)
     extra = [c for c, on in (("__score", with_scores), ("__sortkey", with_sort_keys), ("__explain", explain_score), (index.payload_field or "", with_payloads and index.payload_field)) if on]
     if nocontent:
         return df.select("__key", *extra)
@@ -166,10 +181,10 @@ def count(index: IndexDef, query: Query | str) -> int:
     return retrieve(index, query).df.count()
 
 
-def aggregate(index: IndexDef, query: Query | str, add_scores: bool = False, scorer: str = scoring.DEFAULT, strict: bool = False) -> Pipeline:
+def aggregate(index: IndexDef, query: Query | str, add_scores: bool = False, scorer: str = scoring.DEFAULT, strict: bool = False, tanh_factor: int = scoring.TANH_FACTOR) -> Pipeline:
     """A pipeline over the hits. __score is the document score unless scores are asked for."""
     hits = retrieve(index, query)
-    df = scored(hits, scorer) if add_scores else hits.df
+    df = scored(hits, scorer, tanh_factor=tanh_factor) if add_scores else hits.df
     return Pipeline(df, "__key", hits.functions, strict)
 
 
@@ -237,6 +252,6 @@ def hybrid(
         keep.append(F.struct("__text", "__text_rank", "__vector", "__vector_rank").alias("__explain"))
     out = out.select("__key", *keep)
     docs = visible(index.source()).drop("__score")
-    # at most two windows of rows: a bounded side
-    joined = docs.join(F.broadcast(out), "__key")
+    # at most two windows of rows
+    joined = docs.join(F.broadcast(out) if 2 * window <= MOST_CANDIDATES else out, "__key")
     return Pipeline(joined.orderBy(F.col(score_alias).desc(), F.col("__key").asc()), "__key", hits.functions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,8 @@ class FieldDef:
     dim: int | None = None
     algorithm: str = "FLAT"
     coords: str = "SPHERICAL"
+    #: a column of epoch seconds after which the field's value counts as missing
+    expires: str | None = None
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,12 @@ class IndexDef:
     payload_field: str | None = None
     stopwords: tuple[str, ...] | None = None
     expire_field: str | None = None
+    language_field: str | None = None
+    #: where write_postings() put this collection's postings
+    postings: str | None = None
+    min_stem: int = analysis.MIN_STEM_LENGTH
+    min_phonetic: int = analysis.MIN_PHONETIC_LENGTH
+    gap: int = analysis.MULTI_VALUE_GAP
     synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -87,8 +96,11 @@ class IndexDef:
         if self.filter:
             kinds = {s.name: kind_of(s.dataType) for s in df.schema.fields}
             df = df.where(truth(build(self.filter, lambda n: Typed(F.col(f"`{n}`"), kinds.get(n)) if n in kinds else Typed(F.lit(None).cast("string"), None))))
+        later = lambda c: F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") > F.unix_timestamp())
+        ending = {f.name: F.when(later(f.expires), F.col(f"`{f.name}`")) for f in self.fields if f.expires}
+        df = df.withColumns(ending) if ending else df
         if self.expire_field:
-            df = df.where(F.col(self.expire_field).isNull() | (F.col(self.expire_field) > F.unix_timestamp()))
+            df = df.where(later(self.expire_field))
         score = F.lit(float(self.score))
         if self.score_field:
             score = F.coalesce(F.col(self.score_field).cast("double"), score)
@@ -99,14 +111,19 @@ class IndexDef:
         stop = list(self.stopwords) if self.stopwords is not None else None
         col = F.col(f"`{name}`")
         if isinstance(df.schema[name].dataType, ArrayType):
-            gap = F.array_repeat(F.lit(""), analysis.MULTI_VALUE_GAP)
+            gap = F.array_repeat(F.lit(""), self.gap)
             each = F.transform(col, lambda x: F.concat(analysis.tokens(x, stop), gap))
             return F.coalesce(F.flatten(each), F.array().cast("array<string>"))
         return analysis.tokens(col, stop)
 
-    def prepared(self) -> DataFrame:
-        """source() with __tok_F for text, __stem_F for stemmed text and __tag_F for tag fields; unused ones are pruned."""
+    def prepared(self, keys: DataFrame | None = None) -> DataFrame:
+        """source() with __tok_F for text, __stem_F for stemmed text and __tag_F for tag fields; unused ones are pruned.
+
+        keys: a small table of the __key of all documents that matter; the others are dropped before their texts are read into tokens.
+        """
         df = self.source()
+        if keys is not None:
+            df = df.join(F.broadcast(keys), "__key", "left_semi")
         made: dict[str, Column] = {}
         for f in self.of_type("TEXT"):
             made[f"__tok_{f.name}"] = self.text_tokens(df, f.name)
@@ -114,8 +131,9 @@ class IndexDef:
             is_array = isinstance(df.schema[f.name].dataType, ArrayType)
             made[f"__tag_{f.name}"] = analysis.tags(F.col(f"`{f.name}`").cast("array<string>" if is_array else "string"), f.separator if not is_array else None, f.case_sensitive, is_array, f.index_empty)
         df = df.withColumns(made) if made else df
-        more = {f"__stem_{f.name}": analysis.stems(F.col(f"__tok_{f.name}"), self.language) for f in self.of_type("TEXT") if not f.nostem}
-        more |= {f"__phon_{f.name}": analysis.phonetics(F.col(f"__tok_{f.name}")) for f in self.of_type("TEXT") if f.phonetic}
+        language = F.coalesce(F.lower(F.col(f"`{self.language_field}`")), F.lit(self.language)) if self.language_field else self.language
+        more = {f"__stem_{f.name}": analysis.stems(F.col(f"__tok_{f.name}"), language, self.min_stem) for f in self.of_type("TEXT") if not f.nostem}
+        more |= {f"__phon_{f.name}": analysis.phonetics(F.col(f"__tok_{f.name}"), self.min_phonetic) for f in self.of_type("TEXT") if f.phonetic}
         return df.withColumns(more) if more else df
 
     def alter(self, *fields: FieldDef) -> IndexDef:
@@ -140,6 +158,8 @@ class Catalog:
         self.dictionaries: dict[str, set[str]] = {}
         self.synonym_groups: dict[str, dict[str, set[str]]] = {}
         self.suggestions: dict[str, DataFrame] = {}
+        #: what settings say of analysis: fields of IndexDef by name
+        self.analysis: Callable[[], dict] = dict
 
     def create(self, index: IndexDef, if_absent: bool = False) -> IndexDef:
         if index.name in self.indexes:
@@ -153,7 +173,7 @@ class Catalog:
         name = self.aliases.get(name, name)
         if name not in self.indexes:
             raise ValueError(f"no index {name}")
-        index = self.indexes[name]
+        index = replace(self.indexes[name], **self.analysis())
         groups = self.synonym_groups.get(name)
         if not groups:
             return index

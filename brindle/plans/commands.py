@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import shlex
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, StringType, StructField, StructType
 
 from ..functions.scalars import ExpressionError
+from ..operators import postings, suggest
 from ..operators import search as S
-from ..operators import suggest
 from ..operators.pipeline import Pipeline
 from ..operators.retrieval import Options, simplify
 from ..sources.readers import mget, pages
 from . import query_language as q
 from .catalog import Catalog, FieldDef, IndexDef
 
-SETTINGS = {"DEFAULT_DIALECT": "2", "DEFAULT_SCORER": "BM25STD", "MINPREFIX": "2", "MAXPREFIXEXPANSIONS": "-1", "MINSTEMLEN": "4", "MIN_PHONETIC_TERM_LEN": "3", "MULTI_TEXT_SLOP": "100", "MAXSEARCHRESULTS": "1000000", "MAXAGGREGATERESULTS": "-1", "MAX_AGGREGATE_GROUPS": "-1", "TIMEOUT": "0", "BM25STD_TANH_FACTOR": "4", "CURSOR_MAX_IDLE": "300000"}
+SETTINGS = {"DEFAULT_DIALECT": "2", "DEFAULT_SCORER": "BM25STD", "MINPREFIX": "2", "MAXPREFIXEXPANSIONS": "-1", "MINSTEMLEN": "4", "MIN_PHONETIC_TERM_LEN": "3", "MULTI_TEXT_SLOP": "100", "MAXSEARCHRESULTS": "1000000", "MAXAGGREGATERESULTS": "-1", "MAX_AGGREGATE_GROUPS": "-1", "TIMEOUT": "0", "ON_TIMEOUT": "RETURN", "BM25STD_TANH_FACTOR": "4", "CURSOR_MAX_IDLE": "300000"}
 
 
 class CommandError(ValueError):
@@ -77,6 +82,11 @@ class Engine:
         self.spark, self.catalog = spark, Catalog()
         self.collections: dict[str, DataFrame] = {}
         self.settings = dict(SETTINGS)
+        self.catalog.analysis = lambda: {"min_stem": int(self.settings["MINSTEMLEN"]), "min_phonetic": int(self.settings["MIN_PHONETIC_TERM_LEN"]), "gap": int(self.settings["MULTI_TEXT_SLOP"])}
+        #: name -> (the collection that writes change, key -> the row written or None for a deletion)
+        self.writes: dict[str, tuple[DataFrame, dict]] = {}
+        #: index -> (seconds without use after which it goes, last use)
+        self.temporary: dict[str, tuple[float, float]] = {}
         self.cursors: dict[int, Iterator] = {}
         self.cursor_of: dict[int, str] = {}
         self.scorers, self.expanders = {}, {}
@@ -92,8 +102,51 @@ class Engine:
         run: Callable | None = getattr(self, f"do_{name}", None)
         if run is None:
             raise CommandError(f"unknown command {words[0]}")
+        self._expire(str(words[1]) if len(words) > 1 else "")
         return run(Words(list(words[1:])))
 
+    def _expire(self, used: str) -> None:
+        """Drops temporary indexes that weren't used for as long as they may be; `used` is used now."""
+        now = time.time()
+        for name, (seconds, last) in list(self.temporary.items()):
+            if now - last > seconds:
+                del self.temporary[name]
+                if name in self.catalog.indexes:
+                    self.catalog.drop(name)
+            elif self.catalog.aliases.get(used, used) == name:
+                self.temporary[name] = seconds, now
+
+    def rows(self, *words: Any, timeout_ms: int | None = None) -> list:
+        """The rows of a query. Beyond TIMEOUT its jobs are stopped; ON_TIMEOUT says whether that is an error or no rows."""
+        out = self.execute(*words)
+        most = int(self.settings["TIMEOUT"]) if timeout_ms is None else timeout_ms
+        if not isinstance(out, DataFrame) or most <= 0:
+            return out.collect() if isinstance(out, DataFrame) else out
+        context, tag = self.spark.sparkContext, f"brindle-{uuid.uuid4().hex}"
+        late, over = threading.Event(), threading.Event()
+
+        def stop():
+            # again and again: a job that begins later is stopped too
+            if not over.wait(most / 1000):
+                late.set()
+                while not over.wait(0.1):
+                    context.cancelJobsWithTag(tag)
+
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        threading.Thread(target=stop, daemon=True).start()
+        try:
+            return out.collect()
+        except Exception:
+            if not late.is_set():
+                raise
+            if self.settings["ON_TIMEOUT"].upper() == "FAIL":
+                raise CommandError(f"the query took more than {most} ms") from None
+            return []
+        finally:
+            over.set()
+            context.removeJobTag(tag)
+
     # -- definitions -----------------------------------------------------------------------------------------------
 
     def _fields(self, w: Words) -> list[FieldDef]:
@@ -113,9 +166,11 @@ class Engine:
                         f = replace(f, dim=int(v))
             elif kind == "GEOSHAPE" and (c := w.has("FLAT", "SPHERICAL")):
                 f = replace(f, coords=c)
-            while opt := w.has("WEIGHT", "NOSTEM", "PHONETIC", "SORTABLE", "UNF", "NOINDEX", "WITHSUFFIXTRIE", "INDEXEMPTY", "INDEXMISSING", "SEPARATOR", "CASESENSITIVE"):
+            while opt := w.has("EXPIRES", "WEIGHT", "NOSTEM", "PHONETIC", "SORTABLE", "UNF", "NOINDEX", "WITHSUFFIXTRIE", "INDEXEMPTY", "INDEXMISSING", "SEPARATOR", "CASESENSITIVE"):
                 if opt == "WEIGHT":
                     f = replace(f, weight=w.float())
+                elif opt == "EXPIRES":
+                    f = replace(f, expires=w.text())
                 elif opt == "PHONETIC":
                     w.text()
                     f = replace(f, phonetic=True)
@@ -128,7 +183,7 @@ class Engine:
 
     def do_create(self, w: Words, if_absent: bool = False):
         """CREATE idx ON collection [KEY column] [PREFIX n p...] [FILTER e] ... SCHEMA field type..."""
-        name, opts = w.text(), {}
+        name, opts, idle = w.text(), {}, None
         collection = name
         while w and not w.has("SCHEMA"):
             word = w.text().upper()
@@ -153,13 +208,30 @@ class Engine:
                 opts["payload_field"] = w.text()
             elif word == "STOPWORDS":
                 opts["stopwords"] = tuple(map(str, w.take(w.int())))
-            elif word in ("LANGUAGE_FIELD", "TEMPORARY", "INDEXALL"):
+            elif word == "LANGUAGE_FIELD":
+                opts["language_field"] = w.text()
+            elif word == "EXPIRE_FIELD":
+                opts["expire_field"] = w.text()
+            elif word == "TEMPORARY":
+                idle = w.float()
+            elif word == "INDEXALL":
                 w.text()
             elif word not in ("MAXTEXTFIELDS", "NOOFFSETS", "NOHL", "NOFIELDS", "NOFREQS", "SKIPINITIALSCAN"):
                 raise CommandError(f"CREATE: unexpected {word}")
         if collection not in self.collections:
             raise CommandError(f"no collection {collection}")
         self.catalog.create(IndexDef(name, self.collections[collection], tuple(self._fields(w)), **opts), if_absent)
+        if idle is not None:
+            self.temporary[name] = idle, time.time()
+        return "OK"
+
+    def do_postings(self, w: Words):
+        """POSTINGS idx path [BUCKETS n]: writes the collection's postings; queries on its words read them from then on."""
+        name, path = w.text(), w.text()
+        buckets = w.int() if w.has("BUCKETS") else postings.BUCKETS
+        postings.write_postings(self.catalog.get(name), path, buckets)
+        name = self.catalog.aliases.get(name, name)
+        self.catalog.indexes[name] = replace(self.catalog.indexes[name], postings=path)
         return "OK"
 
     def do_createifnx(self, w: Words):
@@ -226,44 +298,59 @@ class Engine:
 
     # -- writes ----------------------------------------------------------------------------------------------------
 
-    def _rows(self, index: IndexDef, rows: DataFrame) -> None:
+    def _write(self, index: IndexDef, key: str, values: dict | None) -> None:
+        """Puts or deletes a document. All writes lie in one local table over the collection, so the plan doesn't grow with them."""
         name = self.catalog.aliases.get(index.name, index.name)
-        self.catalog.indexes[name] = replace(self.catalog.indexes[name], df=rows)
+        base, made = self.writes.setdefault(name, (index.df, {}))
+        made[key] = values
+        schema = base.schema
+        # as texts, which become the columns' types; lists and the like as JSON
+        text = StructType([StructField(f.name, StringType()) for f in schema.fields])
+        told = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, default=str) if isinstance(x, (list, tuple, dict)) else str(x)
+        new = self.spark.createDataFrame([tuple(told(v.get(f.name)) for f in schema.fields) for v in made.values() if v is not None], text)
+        typed = lambda f: F.col(f"`{f.name}`").cast(f.dataType) if isinstance(f.dataType, AtomicType) else F.from_json(F.col(f"`{f.name}`"), f.dataType)
+        new = new.select(*[typed(f).alias(f.name) for f in schema.fields])
+        left = base.where(~F.coalesce(F.col(index.key).cast("string").isin([str(k) for k in made]), F.lit(False)))
+        # postings tell of the collection as it was
+        self.catalog.indexes[name] = replace(self.catalog.indexes[name], df=left.unionByName(new), postings=None)
 
     def do_add(self, w: Words, safe: bool = False):
-        """ADD idx key score [REPLACE] FIELDS name value..."""
+        """ADD idx key score [REPLACE [PARTIAL]] FIELDS name value..."""
         index, key, score = self.catalog.get(w.text()), w.text(), w.float()
-        keep = bool(w.has("REPLACE"))
-        w.has("PARTIAL")
+        keep, partial = bool(w.has("REPLACE")), bool(w.has("PARTIAL"))
         if not w.has("FIELDS"):
             raise CommandError("ADD takes FIELDS")
-        values = {index.key: key}
+        values = {}
+        if not keep or partial:
+            old = index.df.where(F.col(index.key).cast("string") == str(key)).first()
+            if old is not None and not keep:
+                raise CommandError("the document exists")
+            values = {k: v for k, v in old.asDict().items() if k in index.df.columns} if old is not None else {}
+        values[index.key] = key
         if index.score_field:
             values[index.score_field] = score
         while w:
             name = w.text()  # before the value: the right side of an assignment runs first
             values[name] = w.next()
-        df = index.df
-        if not keep and df.where(F.col(index.key) == key).limit(1).count():
-            raise CommandError("the document exists")
-        made = self.spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
-        self._rows(index, df.where(F.col(index.key) != key).unionByName(made))
+        self._write(index, key, values)
         return "OK"
 
     do_safeadd = do_add
 
     def do_del(self, w: Words):
         index, key = self.catalog.get(w.text()), w.text()
-        found = index.df.where(F.col(index.key) == key).limit(1).count()
-        self._rows(index, index.df.where(F.col(index.key) != key))
+        found = index.df.where(F.col(index.key).cast("string") == str(key)).limit(1).count()
+        if found:
+            self._write(index, key, None)
         return found
 
     def do_setpayload(self, w: Words):
         index, key, payload = self.catalog.get(w.text()), w.text(), w.next()
         if not index.payload_field:
             raise CommandError("the index has no payload field")
-        c = index.payload_field
-        self._rows(index, index.df.withColumn(c, F.when(F.col(index.key) == key, F.lit(payload).cast(index.df.schema[c].dataType)).otherwise(F.col(c))))
+        old = index.df.where(F.col(index.key).cast("string") == str(key)).first()
+        if old is not None:
+            self._write(index, key, old.asDict() | {index.payload_field: payload})
         return "OK"
 
     def do_get(self, w: Words) -> DataFrame:
@@ -360,7 +447,17 @@ class Engine:
                 raise CommandError(f"SEARCH: unexpected {word}")
         if opts.get("limit") == (0, 0):
             return S.count(index, query)
-        return S.search(index, query, **opts)
+        most = int(self.settings["MAXSEARCHRESULTS"])
+        offset, n = opts.get("limit", (0, 10))
+        if 0 <= most < n:
+            opts["limit"] = offset, most
+        return S.search(index, query, tanh_factor=self._tanh(), **opts)
+
+    def _tanh(self) -> int:
+        factor = int(self.settings["BM25STD_TANH_FACTOR"])
+        if not 1 <= factor <= 10_000:
+            raise CommandError("BM25STD_TANH_FACTOR is 1 to 10000")
+        return factor
 
     do_search = search_plan
 
@@ -431,12 +528,14 @@ class Engine:
                 steps.append(rest.words[start : rest.i])
             elif not self._common(word, rest, query):
                 raise CommandError(f"AGGREGATE: unexpected {word}")
-        p = S.aggregate(index, query, scores, scorer)
+        p = S.aggregate(index, query, scores, scorer, tanh_factor=self._tanh())
+        p.most_groups = int(self.settings["MAX_AGGREGATE_GROUPS"])
         for s in steps:
             replay = Words(s)
             self._step(replay.text().upper(), replay, p)
+        most = int(self.settings["MAXAGGREGATERESULTS"])
         out = p.result()
-        return S.visible(out)
+        return S.visible(out.limit(most) if most >= 0 else out)
 
     @staticmethod
     def _skip(word: str, w: Words) -> None:
@@ -586,8 +685,6 @@ class Engine:
         name, kind = w.text(), w.text().upper()
         w.has("LIMITED")
         w.has("QUERY")
-        import time
-
         began = time.time()
         out = {"SEARCH": self.search_plan, "AGGREGATE": self.aggregate_plan, "HYBRID": self.do_hybrid}[kind](Words([name, *w.take(len(w.words) - w.i)]))
         planned = time.time()
