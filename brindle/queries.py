@@ -6,6 +6,7 @@ Every query goes through the command surface: words of a command in, a DataFrame
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import cos, radians, sin
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .functions.analysis import SEPARATORS, STOPWORDS
 from .operators import postings as P
 from .plans.commands import Engine
 from .sources.readers import with_json
+from .sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +40,8 @@ def seconds(c: str) -> Column:
 #: the tables hold no places: these are made from numbers
 PLACE = lambda: F.concat((F.col("s_suppkey") % 360 - 180).cast("string"), F.lit(","), (F.col("s_nationkey") * 3 - 40).cast("string"))
 SHAPE = lambda: F.concat(F.lit("POINT("), (F.col("s_suppkey") % 50).cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(")"))
+#: squares of 4 by 4
+SQUARE = lambda: F.expr("format_string('POLYGON((%1$d %2$d, %3$d %2$d, %3$d %4$d, %1$d %4$d, %1$d %2$d))', s_suppkey % 50, s_nationkey, s_suppkey % 50 + 4, s_nationkey + 4)")
 VECTOR = "embedding VECTOR FLAT 6 TYPE FLOAT32 DIM 64 DISTANCE_METRIC"
 #: collection -> (its rows, from a function that reads a table; the indexes on it)
 COLLECTIONS: dict[str, tuple[Callable, dict[str, str]]] = {
@@ -72,15 +76,28 @@ COLLECTIONS: dict[str, tuple[Callable, dict[str, str]]] = {
         lambda read: read("documents").select("doc_id", "lang", "n_chars").join(read("labels"), "doc_id", "left").withColumn("__key", F.col("doc_id")),
         {"labelled": "lang TAG n_chars NUMERIC quality NUMERIC INDEXMISSING toxic NUMERIC INDEXMISSING"},
     ),
+    "goods": (
+        lambda read: read("part").withColumn("__key", F.col("p_partkey")).withColumn("words", F.when(F.col("p_size") % 2 == 1, F.split("p_name", " ")).otherwise(F.array().cast("array<string>"))).withColumn("sizes", F.array(F.col("p_size").cast("double"), F.col("p_retailprice"))),
+        {"goods": "p_name TEXT NOSTEM p_type TEXT NOSTEM p_brand TAG CASESENSITIVE words TAG p_size NUMERIC SORTABLE"},
+    ),
+    "squares": (
+        lambda read: read("supplier").withColumn("__key", F.col("s_suppkey")).withColumn("shape", SQUARE()),
+        {"squares": "shape GEOSHAPE FLAT"},
+    ),
+    "globe": (lambda read: read("supplier").withColumn("__key", F.col("s_suppkey")).withColumn("shape", SHAPE()), {"globe": "shape GEOSHAPE SPHERICAL"}),
+    "ending": (
+        lambda read: read("events").withColumn("__key", F.col("event_id")).withColumn("until", F.when(F.col("value") > 20, F.lit(1)).when(F.col("value") > 10, F.lit(1 << 40))),
+        {"ending": "event_type TAG value NUMERIC INDEXMISSING EXPIRES until"},
+    ),
 }
 
 
-def engine(spark: SparkSession, d: str, index: str) -> Engine:
-    """An engine with one index and its collection; timestamps become epoch seconds where they are read."""
+def engine(spark: SparkSession, d: str, index: str, *more: str) -> Engine:
+    """An engine with one index and its collection; timestamps become epoch seconds where they are read. more: words of CREATE."""
     e = Engine(spark)
     name, (rows, indexes) = next((k, v) for k, v in COLLECTIONS.items() if index in v[1])
     e.register(name, rows(lambda t: spark.read.parquet(f"{d}/{t}.parquet")))
-    e.execute("FT.CREATE", index, "ON", name, "SCHEMA", *indexes[index].split())
+    e.execute("FT.CREATE", index, "ON", name, *more, "SCHEMA", *indexes[index].split())
     return e
 
 
@@ -136,7 +153,14 @@ _reduce("agg_stddev", "round(coalesce(stddev_samp(l_quantity), 0), 6)", ["STDDEV
 _reduce("agg_quantile", "quantile_disc(l_extendedprice, 0.5)", ["QUANTILE", 2, "@l_extendedprice", "0.5"], digits=None)
 _reduce("agg_count_distinct", "count(DISTINCT l_partkey)::DOUBLE", ["COUNT_DISTINCT", 1, "@l_partkey"], digits=None)
 _reduce("agg_first_value", "arg_max(o_orderkey, o_totalprice)", ["FIRST_VALUE", 4, "@o_orderkey", "BY", "@o_totalprice", "DESC"], "o_custkey", None, "orders")
-_reduce("agg_count_distinctish", "", ["COUNT_DISTINCTISH", 1, "@l_partkey"], digits=None)
+
+
+@query("SELECT l_suppkey, 1.0::DOUBLE AS near FROM lineitem GROUP BY 1")
+def agg_count_distinctish(spark, d):
+    """The sketch against the exact count of the same group: within a fifth of it, three standard errors of its 256 registers."""
+    near = "case(abs(@v - @n) <= @n * 0.2 + 1, 1, 0)"
+    return run(spark, d, "FT.AGGREGATE", "lineitem", "*", "GROUPBY", 1, "@l_suppkey", "REDUCE", "COUNT_DISTINCTISH", 1, "@l_partkey", "AS", "v", "REDUCE", "COUNT_DISTINCT", 1, "@l_partkey", "AS", "n", "APPLY", near, "AS", "near").select("l_suppkey", F.col("near").cast("double").alias("near"))
+
 
 
 @query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS v FROM lineitem GROUP BY 1")
@@ -151,15 +175,20 @@ def agg_collect_topk(spark, d):
     return out.select("o_orderpriority", F.posexplode("c").alias("r", "c")).select("o_orderpriority", "r", "c.o_orderkey", "c.o_totalprice")
 
 
-@query()
+@query("SELECT l_returnflag, 1.0::DOUBLE AS near FROM lineitem GROUP BY 1")
 def agg_hll_merge(spark, d):
-    return run(spark, d, "FT.AGGREGATE", "lineitem", "*", "GROUPBY", 2, "@l_returnflag", "@l_linestatus", "REDUCE", "HLL", 1, "@l_partkey", "AS", "s", "GROUPBY", 1, "@l_returnflag", "REDUCE", "HLL_SUM", 1, "@s", "AS", "n")
+    """Merged sketches against the exact count of the merged group."""
+    by_flag = ["GROUPBY", 1, "@l_returnflag", "REDUCE"]
+    merged = run(spark, d, "FT.AGGREGATE", "lineitem", "*", "GROUPBY", 2, "@l_returnflag", "@l_linestatus", "REDUCE", "HLL", 1, "@l_partkey", "AS", "s", *by_flag, "HLL_SUM", 1, "@s", "AS", "v")
+    exact = run(spark, d, "FT.AGGREGATE", "lineitem", "*", *by_flag, "COUNT_DISTINCT", 1, "@l_partkey", "AS", "n")
+    return merged.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("v") - F.col("n")) <= 0.2 * F.col("n") + 1).cast("double").alias("near"))
 
 
-@query()
+@query("SELECT l_suppkey, least(10, count(l_quantity))::INTEGER AS v, 1.0::DOUBLE AS own FROM lineitem GROUP BY 1")
 def agg_random_sample(spark, d):
-    out = run(spark, d, "FT.AGGREGATE", "lineitem", "*", "GROUPBY", 1, "@l_suppkey", "REDUCE", "RANDOM_SAMPLE", 2, "@l_quantity", "10", "AS", "v")
-    return out.withColumn("v", F.size("v"))
+    """How many values a sample has, and that the group holds each of them."""
+    out = run(spark, d, "FT.AGGREGATE", "lineitem", "*", "GROUPBY", 1, "@l_suppkey", "REDUCE", "RANDOM_SAMPLE", 2, "@l_quantity", "10", "AS", "v", "REDUCE", "TOLIST", 1, "@l_quantity", "AS", "all")
+    return out.select("l_suppkey", F.size("v").alias("v"), (F.size(F.array_except("v", "all")) == 0).cast("double").alias("own"))
 
 
 # -- pipeline ----------------------------------------------------------------------------------------------------------
@@ -327,7 +356,7 @@ def search_sortby_filter(spark, d):
     return run(spark, d, "FT.SEARCH", "documents", "rewh", "FILTER", "n_chars", 1000, 4000, "SORTBY", "n_chars", "DESC", "LIMIT", 0, 20, "NOCONTENT").withColumnRenamed("__key", "doc_id")
 
 
-@query()
+@query(DOCS_SQL + "SELECT doc_id FROM d WHERE lang = 'en' AND len(list_filter(t, lambda x: x IN ('heating', 'heat', 'heats', 'heated', 'heates', 'heatings', 'heatly', 'heate', 'heatedly', 'heatingly'))) > 0")
 def search_stemmed(spark, d):
     return run(spark, d, "FT.AGGREGATE", "stemmed", "@lang:{en} heating", "LOAD", 1, "@doc_id").select("doc_id")
 
@@ -445,9 +474,13 @@ def highlight(spark, d):
     return out.select("p_partkey", F.regexp_replace("p_name", "</?b>", "").alias("p_name"), F.col("p_name").alias("marked"))
 
 
-@query()
+@query(DOCS_SQL + f"SELECT doc_id, true AS found, true AS own FROM d WHERE {_has('rewh')}")
 def summarize(spark, d):
-    return run(spark, d, "FT.SEARCH", "documents", "rewh", "SUMMARIZE", "FIELDS", 1, "text", "FRAGS", 2, "LEN", 8, "RETURN", 2, "doc_id", "text", "LIMIT", 0, -1)
+    """That a summary shows the word, and that the text holds each of its fragments."""
+    made = run(spark, d, "FT.SEARCH", "documents", "rewh", "SUMMARIZE", "FIELDS", 1, "text", "FRAGS", 2, "LEN", 8, "SEPARATOR", "\x1f", "RETURN", 2, "doc_id", "text", "LIMIT", 0, -1)
+    whole = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("whole"))
+    own = F.forall(F.split("text", "\x1f"), lambda x: F.col("whole").contains(x))
+    return made.join(whole, "doc_id").select("doc_id", F.lower("text").contains("rewh").alias("found"), own.alias("own"))
 
 
 @query("SELECT 'widgt' AS term, w AS suggestion, count(DISTINCT p_partkey)::DOUBLE / (SELECT count(*) FROM part) AS score FROM (SELECT p_partkey, unnest(" + toks_sql("p_name") + ") AS w FROM part) WHERE levenshtein(w, 'widgt') <= 1 GROUP BY w")
@@ -477,3 +510,274 @@ def upsert_latest(spark, d):
     changes = base.where("event_id % 3 = 0").withColumn("version", F.lit(2)).withColumn("gone", F.col("value") <= 10)
     out = upsert(base, changes, "event_id", "version", "gone")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# -- fields, options and dialects ----------------------------------------------------------------------------------------
+
+GOODS_SQL = f"WITH p AS (SELECT *, {toks_sql('p_name')} AS t, {toks_sql('p_type')} AS u FROM part) "
+_good = lambda cond: GOODS_SQL + f"SELECT p_partkey FROM p WHERE {cond}"
+_NAME, _TYPE = "list_contains(t, 'widget')", "list_contains(u, 'brass')"
+_search("search_fields", "goods", "@p_name|p_type:(widget | brass)", "p_partkey", _good("list_has_any(t, ['widget', 'brass']) OR list_has_any(u, ['widget', 'brass'])"))
+_search("search_one_field", "goods", "@p_type:brass", "p_partkey", _good(_TYPE))
+_search("search_infields", "goods", "brass | widget", "p_partkey", _good("list_has_any(u, ['widget', 'brass'])"), "INFIELDS", 1, "p_type")
+_search("search_verbatim", "stemmed", "heating", "doc_id", _doc(_has("heating")), "VERBATIM")
+_search("search_nostopwords", "documents", "rewh", "doc_id", _doc(_has("rewh")), "NOSTOPWORDS")
+_search("search_slop_option", "documents", "from ing", "doc_id", ORACLE_SQL["search_slop"], "SLOP", 5, "INORDER")
+_search("search_dialect1", "documents", "ing from | und von", "doc_id", _doc(f"{_has('ing')} AND ({_has('from')} OR {_has('und')}) AND {_has('von')}"), "DIALECT", 1)
+_search("search_tag_case", "goods", "@p_brand:{Brand\\#13 | brand\\#12}", "p_partkey", "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#13', 'brand#12')")
+_search("search_geoshape_contains", "squares", "@shape:[CONTAINS $s]", "s_suppkey", "SELECT s_suppkey FROM supplier WHERE 7 BETWEEN s_suppkey % 50 AND s_suppkey % 50 + 4 AND 9 BETWEEN s_nationkey AND s_nationkey + 4", "PARAMS", 2, "s", "POINT(7 9)")
+_BOX, _MEET = "POLYGON((5.5 3.5, 30.5 3.5, 30.5 12.5, 5.5 12.5, 5.5 3.5))", "s_suppkey % 50 + 4 >= 5.5 AND s_suppkey % 50 <= 30.5 AND s_nationkey + 4 >= 3.5 AND s_nationkey <= 12.5"
+_search("search_geoshape_intersects", "squares", "@shape:[INTERSECTS $s]", "s_suppkey", f"SELECT s_suppkey FROM supplier WHERE {_MEET}", "PARAMS", 2, "s", _BOX)
+_search("search_geoshape_disjoint", "squares", "@shape:[DISJOINT $s]", "s_suppkey", f"SELECT s_suppkey FROM supplier WHERE NOT ({_MEET})", "PARAMS", 2, "s", _BOX)
+#: a triangle of great circles: inside are points on the inner side of each edge's plane
+_CORNERS = ((0.25, 0.25), (60.5, 1.25), (20.25, 30.5))
+_AT = lambda lon, lat: (cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat)))
+
+
+def _inner_sql(a: tuple, b: tuple) -> str:
+    """Whether a supplier's point is on the left of the great circle from a to b."""
+    (x, y, z), (u, v, w) = _AT(*a), _AT(*b)
+    p, q, r = y * w - z * v, z * u - x * w, x * v - y * u
+    return f"{p!r} * cos(radians(s_nationkey)) * cos(radians(s_suppkey % 50)) + {q!r} * cos(radians(s_nationkey)) * sin(radians(s_suppkey % 50)) + {r!r} * sin(radians(s_nationkey)) >= 0"
+
+
+_TURN = " AND ".join(map(_inner_sql, _CORNERS, _CORNERS[1:] + _CORNERS[:1]))
+_search("search_geoshape_spherical", "globe", "@shape:[WITHIN $s]", "s_suppkey", f"SELECT s_suppkey FROM supplier WHERE {_TURN}", "PARAMS", 2, "s", "POLYGON((" + ", ".join(f"{x} {y}" for x, y in (*_CORNERS, _CORNERS[0])) + "))")
+_search("search_field_expired", "ending", "ismissing(@value)", "event_id", "SELECT event_id FROM events WHERE value > 20 OR value IS NULL")
+
+
+def _keys(name: str, index: str, key: str, sql: str, *words, more: tuple = ()):
+    """All keys of FT.SEARCH."""
+
+    def fn(spark, d):
+        return engine(spark, d, index, *more).execute("FT.SEARCH", index, *words, "LIMIT", 0, -1, "NOCONTENT").select(F.col("__key").alias(key))
+
+    QUERIES[name] = fn
+    ORACLE_SQL[name] = sql
+
+
+_keys("search_geofilter", "supplier", "s_suppkey", ORACLE_SQL["search_geo"], "*", "GEOFILTER", "place", -73.25, 40.5, 9000, "km")
+_keys("search_expired", "ending", "event_id", "SELECT event_id FROM events WHERE value <= 20", "@value:[-inf +inf]", more=("EXPIRE_FIELD", "until"))
+_keys("search_index_filter", "goods", "p_partkey", _good("list_contains(t, 'widget') AND p_size > 20"), "@p_name:widget", more=("FILTER", "@p_size > 20"))
+_keys("search_index_stopwords", "documents", "doc_id", "WITH d AS (SELECT doc_id, " + toks_sql("text").replace(f"NOT IN ({_STOP})", "NOT IN ('from')") + " AS t FROM documents) SELECT doc_id FROM d WHERE list_contains(t, 'the') AND list_contains(t, 'ing')", "the ing from", more=("STOPWORDS", 1, "from"))
+
+
+@query(DOCS_SQL + f"SELECT doc_id, concat_ws(',', CASE WHEN {_has('from')} THEN 'from' END, CASE WHEN {_has('rewh')} THEN 'rewh' END) AS words FROM d WHERE {_has('from')} OR {_has('rewh')}")
+def matched_terms(spark, d):
+    out = run(spark, d, "FT.AGGREGATE", "documents", _OR, "APPLY", "matched_terms()", "AS", "m")
+    return out.select("doc_id", F.array_join(F.array_sort("m"), ",").alias("words"))
+
+
+@query("SELECT p_partkey, p_retailprice AS sortkey, 'Brand' AS kind FROM part WHERE p_size BETWEEN 10 AND 12 ORDER BY p_retailprice DESC, p_partkey LIMIT 40")
+def search_sort_keys_payloads(spark, d):
+    e = engine(spark, d, "part", "PAYLOAD_FIELD", "p_brand")
+    out = e.execute("FT.SEARCH", "part", "@p_size:[10 12]", "SORTBY", "p_retailprice", "DESC", "WITHSORTKEYS", "WITHPAYLOADS", "NOCONTENT", "LIMIT", 0, 40)
+    return out.select(F.col("__key").alias("p_partkey"), F.col("__sortkey").alias("sortkey"), F.substring("p_brand", 1, 5).alias("kind"))
+
+
+@query("SELECT p_partkey, p_name AS title FROM part WHERE p_partkey IN (3, 5, 8)")
+def search_return_as(spark, d):
+    return run(spark, d, "FT.SEARCH", "part", "*", "INKEYS", 4, 3, 5, 8, 100000000, "RETURN", 4, "p_partkey", "p_name", "AS", "title").select("p_partkey", "title")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5)")
+def documents_by_key(spark, d):
+    return run(spark, d, "FT.MGET", "documents", 3, 5, 100000000).select("doc_id", "lang")
+
+
+# -- groups --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT quality, count(*)::DOUBLE AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def groupby_null(spark, d):
+    return run(spark, d, "FT.AGGREGATE", "labelled", "*", "GROUPBY", 1, "@quality", "REDUCE", "COUNT", 0, "AS", "n")
+
+
+@query("SELECT w AS words, count(*)::DOUBLE AS n FROM (SELECT unnest(CASE WHEN p_size % 2 = 1 THEN string_split(p_name, ' ') ELSE [NULL] END) AS w FROM part) GROUP BY 1")
+def groupby_empty_array(spark, d):
+    return run(spark, d, "FT.AGGREGATE", "goods", "*", "GROUPBY", 1, "@words", "REDUCE", "COUNT", 0, "AS", "n")
+
+
+@query("SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY 1")
+def agg_collect_distinct(spark, d):
+    out = run(spark, d, "FT.AGGREGATE", "part", "*", "GROUPBY", 1, "@p_type", "REDUCE", "COLLECT", 4, "FIELDS", 1, "@p_brand", "DISTINCT", "AS", "c")
+    return out.select("p_type", F.array_join(F.array_sort(F.transform("c", lambda x: x["p_brand"])), ",").alias("brands"))
+
+
+@query("SELECT string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey) AS top, max(n)::DOUBLE AS n FROM (SELECT *, count(*) OVER () AS n FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5 OFFSET 2)")
+def agg_collect_of_all(spark, d):
+    """The best rows of one group that holds the whole table."""
+    out = run(spark, d, "FT.AGGREGATE", "orders", "*", "GROUPBY", 0, "REDUCE", "COLLECT", 10, "FIELDS", 1, "@o_orderkey", "SORTBY", 2, "@o_totalprice", "DESC", "LIMIT", 2, 5, "AS", "c", "REDUCE", "COUNT", 0, "AS", "n")
+    return out.select(F.array_join(F.transform("c", lambda x: x["o_orderkey"].cast("string")), ",").alias("top"), "n")
+
+
+@query("SELECT p_brand, quantile_disc(x, 0.5) AS v FROM (SELECT p_brand, unnest([p_size::DOUBLE, p_retailprice]) AS x FROM part) GROUP BY 1")
+def agg_quantile_array(spark, d):
+    return run(spark, d, "FT.AGGREGATE", "goods", "*", "GROUPBY", 1, "@p_brand", "REDUCE", "QUANTILE", 2, "@sizes", "0.5", "AS", "v")
+
+
+@query("SELECT o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY 1")
+def cursor_pages(spark, d):
+    """All pages of a cursor over a few groups, two rows at a time."""
+    e = engine(spark, d, "orders")
+    rows, cid = e.execute("FT.AGGREGATE", "orders", "*", "GROUPBY", 1, "@o_orderpriority", "REDUCE", "COUNT", 0, "AS", "n", "WITHCURSOR", "COUNT", 2)
+    seen = [tuple(r) for r in rows]
+    while cid:
+        rows, cid = e.execute("FT.CURSOR", "READ", "orders", cid)
+        seen += [tuple(r) for r in rows]
+    return spark.createDataFrame(seen, "o_orderpriority string, n double")
+
+
+# -- scores and settings -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN strlen(p_brand) = 8 THEN round(1.0 / (1 + list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(ord(p_brand[i]), ord('Brand#13'[i])))))), 6) ELSE 0.0 END AS score FROM part")
+def score_hamming(spark, d):
+    e = engine(spark, d, "part", "PAYLOAD_FIELD", "p_brand")
+    out = e.execute("FT.SEARCH", "part", "*", "SCORER", "HAMMING", "PAYLOAD", "Brand#13", "WITHSCORES", "NOCONTENT", "LIMIT", 0, -1)
+    return out.select(F.col("__key").alias("p_partkey"), F.round("__score", 6).alias("score"))
+
+
+@query("WITH " + _STATS + "SELECT doc_id, round(bm, 6) AS score, 'from' AS term, f1::INTEGER AS frequency, d1 AS documents, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)), 6) AS idf FROM b")
+def score_explained(spark, d):
+    out = run(spark, d, "FT.SEARCH", "documents", _OR, "WITHSCORES", "EXPLAINSCORE", "NOCONTENT", "LIMIT", 0, -1)
+    part = F.get("__explain", F.lit(0))
+    return out.select(F.col("__key").alias("doc_id"), F.round("__score", 6).alias("score"), part["term"].alias("term"), part["frequency"].alias("frequency"), part["documents"].alias("documents"), F.round(part["idf"], 6).alias("idf"))
+
+
+@query("WITH " + _STATS + "SELECT doc_id, round(tanh(bm / 7), 6) AS score FROM b")
+def setting_tanh_factor(spark, d):
+    e = engine(spark, d, "documents")
+    e.execute("FT.CONFIG", "SET", "BM25STD_TANH_FACTOR", 7)
+    return e.execute("FT.AGGREGATE", "documents", _OR, "SCORER", "BM25STD.TANH", "ADDSCORES").select("doc_id", F.round("__score", 6).alias("score"))
+
+
+@query(PARTS_SQL + "SELECT p_partkey FROM p WHERE list_has_any(t, (SELECT list(x) FROM (SELECT DISTINCT x FROM (SELECT unnest(t) AS x FROM p) WHERE contains(x, 'e') ORDER BY x LIMIT 3)))")
+def setting_max_expansions(spark, d):
+    e = engine(spark, d, "part")
+    e.execute("FT.CONFIG", "SET", "MAXPREFIXEXPANSIONS", 3)
+    return e.execute("FT.AGGREGATE", "part", "*e*").select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 7")
+def setting_max_results(spark, d):
+    e = engine(spark, d, "orders")
+    e.execute("FT.CONFIG", "SET", "MAXSEARCHRESULTS", 7)
+    return e.execute("FT.SEARCH", "orders", "*", "SORTBY", "o_totalprice", "LIMIT", 0, 100, "NOCONTENT").select(F.col("__key").alias("o_orderkey"))
+
+
+# -- written postings ----------------------------------------------------------------------------------------------------
+
+
+def posted(spark, d, index: str, *words) -> DataFrame:
+    """A query on an index whose postings were written: its candidates and statistics come from them."""
+    e = engine(spark, d, index)
+    e.execute("FT.POSTINGS", index, shared_folder(spark, "postings"), "BUCKETS", 16)
+    return e.execute(*words)
+
+
+@query(ORACLE_SQL["score_bm25std"])
+def postings_scores(spark, d):
+    return posted(spark, d, "documents", "FT.AGGREGATE", "documents", _OR, "SCORER", "BM25STD", "ADDSCORES").select("doc_id", F.round("__score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["search_phrase"])
+def postings_phrase(spark, d):
+    return posted(spark, d, "documents", "FT.AGGREGATE", "documents", '"thatin ononst"').select("doc_id")
+
+
+@query(ORACLE_SQL["search_prefix"])
+def postings_prefix(spark, d):
+    return posted(spark, d, "documents", "FT.AGGREGATE", "documents", "rew*").select("doc_id")
+
+
+@query(ORACLE_SQL["search_stemmed"])
+def postings_stemmed(spark, d):
+    return posted(spark, d, "stemmed", "FT.AGGREGATE", "stemmed", "@lang:{en} heating").select("doc_id")
+
+
+# -- hybrid ----------------------------------------------------------------------------------------------------------------
+
+_FUSED = "SELECT doc_id, round(coalesce(1 / (60.0 + tx.r), 0) + coalesce(1 / (60.0 + vx.r), 0), 8) AS score FROM tx FULL OUTER JOIN vx USING (doc_id)"
+_NEAR = f"vx AS (SELECT doc_id, {_COS} AS c, row_number() OVER (ORDER BY {_COS}, doc_id) AS r FROM d QUALIFY r <= 10) "
+
+
+def _hybrid(name: str, near: str, *side):
+    def fn(spark, d):
+        out = run(spark, d, "FT.HYBRID", "texts", "SEARCH", _OR, "VSIM", "@embedding", "$v", *side, "COMBINE", "RRF", 4, "CONSTANT", 60, "WINDOW", 20, "LIMIT", 0, 1000, "PARAMS", 2, "v", ASKED)
+        return out.select("doc_id", F.round("__score", 8).alias("score"))
+
+    QUERIES[name] = fn
+    ORACLE_SQL[name] = _HYBRID_SQL.replace(_NEAR, near) + _FUSED
+
+
+_hybrid("hybrid_range", f"vx AS (SELECT doc_id, row_number() OVER (ORDER BY {_COS}, doc_id) AS r FROM d WHERE {_COS} <= 0.9 QUALIFY r <= 20) ", "RANGE", 2, "RADIUS", 0.9)
+_hybrid("hybrid_filter", f"vx AS (SELECT doc_id, row_number() OVER (ORDER BY {_COS}, doc_id) AS r FROM d WHERE lang = 'en' QUALIFY r <= 10) ", "KNN", 2, "K", 10, "FILTER", "@lang:{en}")
+
+
+@query(_HYBRID_SQL + "SELECT doc_id, tx.r::INTEGER AS text_rank, vx.r::INTEGER AS vector_rank FROM tx FULL OUTER JOIN vx USING (doc_id)")
+def hybrid_explained(spark, d):
+    out = run(spark, d, "FT.HYBRID", "texts", "SEARCH", _OR, "VSIM", "@embedding", "$v", "COMBINE", "RRF", 4, "CONSTANT", 60, "WINDOW", 20, "EXPLAINSCORE", "LIMIT", 0, 1000, "PARAMS", 2, "v", ASKED)
+    return out.select("doc_id", F.col("__explain.__text_rank").alias("text_rank"), F.col("__explain.__vector_rank").alias("vector_rank"))
+
+
+# -- definitions, writes and dictionaries ----------------------------------------------------------------------------------
+
+
+@query(DOCS_SQL + "SELECT 'documents' AS name, count(*) AS docs, sum(len(t))::BIGINT AS terms, 4 AS attributes FROM d")
+def index_info(spark, d):
+    info = run(spark, d, "FT.INFO", "documents")
+    return spark.createDataFrame([(info["index_name"], info["num_docs"], info["total_terms"], len(info["attributes"]))], "name string, docs long, terms long, attributes int")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 3 AND 5")
+def alias_and_alter(spark, d):
+    """A field that is added later, asked about by an alias that was moved there."""
+    e = engine(spark, d, "part")
+    e.execute("FT.CREATE", "few", "ON", "part", "SCHEMA", "p_brand", "TAG")
+    e.execute("FT.ALIASADD", "now", "part")
+    e.execute("FT.ALIASUPDATE", "now", "few")
+    e.execute("FT.ALTER", "few", "SCHEMA", "ADD", "p_size", "NUMERIC")
+    e.execute("FT.DROPINDEX", "part")
+    return e.execute("FT.AGGREGATE", "now", "@p_size:[3 5]").select("p_partkey")
+
+
+@query("SELECT p_brand, count(*)::DOUBLE AS n FROM (SELECT p_brand FROM part WHERE p_partkey NOT IN (3, 4) UNION ALL VALUES ('new'), ('new')) GROUP BY 1")
+def writes(spark, d):
+    e = engine(spark, d, "part")
+    e.execute("FT.ADD", "part", 3, 1.0, "REPLACE", "FIELDS", "p_brand", "new", "p_size", 1)
+    e.execute("FT.ADD", "part", 100000000, 1.0, "FIELDS", "p_brand", "newer")
+    e.execute("FT.ADD", "part", 100000000, 1.0, "REPLACE", "PARTIAL", "FIELDS", "p_brand", "new")
+    e.execute("FT.DEL", "part", 4)
+    return e.execute("FT.AGGREGATE", "part", "*", "GROUPBY", 1, "@p_brand", "REDUCE", "COUNT", 0, "AS", "n")
+
+
+@query("SELECT * FROM (VALUES ('hello', 2147483647.0::DOUBLE, 'p'), ('hello you', round(5 / sqrt(5.0), 6), NULL)) AS t(string, score, payload)")
+def suggest_raised(spark, d):
+    e = Engine(spark)
+    for word, score, more in (("hello", 1, ("PAYLOAD", "p")), ("hello you", 2, ()), ("hello you", 3, ("INCR",)), ("help", 9, ())):
+        e.execute("FT.SUGADD", "s", word, score, *more)
+    return rounded(e.execute("FT.SUGGET", "s", "hello", "WITHSCORES", "WITHPAYLOADS"), 6, "score")
+
+
+@query("SELECT * FROM (" + ORACLE_SQL["spellcheck"] + ") WHERE suggestion <> 'widget' UNION ALL VALUES ('widgt', 'widgit', 0.0)")
+def spellcheck_dictionaries(spark, d):
+    e = engine(spark, d, "part")
+    e.execute("FT.DICTADD", "more", "widgit", "faraway")
+    e.execute("FT.DICTADD", "less", "widget", "other")
+    e.execute("FT.DICTDEL", "less", "other")
+    return e.execute("FT.SPELLCHECK", "part", "widgt", "DISTANCE", 1, "TERMS", "INCLUDE", "more", "TERMS", "EXCLUDE", "less")
+
+
+@query("SELECT * FROM (VALUES ('ring', 'g1'), ('widget', 'g1'), ('widget', 'g2'), ('gadget', 'g2')) AS t(term, grp)")
+def synonyms_listed(spark, d):
+    e = engine(spark, d, "part")
+    e.execute("FT.SYNUPDATE", "part", "g1", "widget", "ring")
+    e.execute("FT.SYNUPDATE", "part", "g2", "gadget", "Widget")
+    return spark.createDataFrame([(t, g) for t, groups in e.execute("FT.SYNDUMP", "part").items() for g in groups], "term string, grp string")
+
+
+@query("SELECT 'PHRASE' AS first, true AS known")
+def query_explained(spark, d):
+    text = engine(spark, d, "documents").execute("FT.EXPLAIN", "documents", "from -ing @n_chars:[1 5]")
+    return spark.createDataFrame([(text.split()[0].strip("{"), "from" in text and "n_chars" in text)], "first string, known boolean")

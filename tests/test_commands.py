@@ -3,8 +3,10 @@
 import pytest
 
 from brindle.functions.analysis import phonetic, stem, tokens_of
-from brindle.operators.postings import bm25_any, write_postings
-from brindle.plans.commands import CommandError, Engine
+from brindle.functions.metaphone import double_metaphone
+from brindle.functions.stemmers import danish, german, norwegian, spanish, swedish
+from brindle.operators.postings import postings
+from brindle.plans.commands import CommandError, Engine, ExpressionError
 from brindle.plans.query_language import QueryError
 
 
@@ -95,13 +97,133 @@ def test_postings_score_as_a_scan_does(fruits, tmp_path, spark):
     e = Engine(spark)
     e.register("fruits", fruits.collections["fruits"])
     e.execute("FT.CREATE", "plain", "ON", "fruits", "SCHEMA", "name", "TEXT", "NOSTEM")
-    write_postings(e.catalog.get("plain"), str(tmp_path), 4)
-    got = {r["__key"]: round(r.score, 9) for r in bm25_any(spark, str(tmp_path), ["apple", "lemon"]).collect()}
-    want = {r["__key"]: round(r["__score"], 9) for r in e.execute("FT.SEARCH", "plain", "apple | lemon", "WITHSCORES", "NOCONTENT").collect()}
-    assert got == want
+    asked = ("FT.SEARCH", "plain", "apple | lemon", "WITHSCORES", "NOCONTENT")
+    want = {r["__key"]: round(r["__score"], 9) for r in e.execute(*asked).collect()}
+    e.execute("FT.POSTINGS", "plain", str(tmp_path / "p"), "BUCKETS", 4)
+    out = e.execute(*asked)
+    assert {r["__key"]: round(r["__score"], 9) for r in out.collect()} == want and len(want) == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "PartitionFilters: [((bucket" in plan.replace("isnotnull(bucket", "((bucket")
+    # a write makes the postings out of date
+    e.execute("FT.ADD", "plain", "z", 1.0, "FIELDS", "name", "lemon")
+    assert len(keys(e.execute(*asked))) == 4
+
+
+def test_postings_of_a_long_text_are_linear(spark):
+    text = " ".join(f"w{k % 5000}" for k in range(40000))
+    e = Engine(spark)
+    e.register("one", spark.createDataFrame([("k", text)], "__key string, name string"))
+    e.execute("FT.CREATE", "one", "ON", "one", "SCHEMA", "name", "TEXT", "NOSTEM")
+    rows = postings(e.catalog.get("one")).collect()
+    assert len(rows) == 5000 and all(r.positions == list(range(int(r.term[1:]) + 1, 40001, 5000)) and r.frequency == 8 for r in rows)
 
 
 def test_analysis():
     assert tokens_of("Hello, the (World)! foo\\-bar") == ["hello", "world", "foo-bar"]
     assert [stem(w) for w in ("running", "flies", "nationally", "hopping", "generously")] == ["run", "fli", "nation", "hop", "generous"]
-    assert phonetic("smith") == phonetic("smyth")
+    assert phonetic("smith") == phonetic("smyth") == "SM0"
+    known = {"thompson": ("TMPS", "TMPS"), "schmidt": ("XMT", "SMT"), "catherine": ("K0RN", "KTRN"), "michael": ("MKL", "MXL"), "church": ("XRX", "XRK"), "cabrillo": ("KPRL", "KPR"), "laugh": ("LF", "LF"), "arnow": ("ARN", "ARNF"), "caesar": ("SSR", "SSR"), "wright": ("RT", "RT")}
+    assert {w: double_metaphone(w) for w in known} == known
+
+
+def test_phonetic_fields(spark):
+    e = Engine(spark)
+    e.register("names", spark.createDataFrame([("a", "Jon Smith"), ("b", "John Smyth"), ("c", "Ann")], "__key string, name string"))
+    e.execute("FT.CREATE", "idx", "ON", "names", "SCHEMA", "name", "TEXT", "NOSTEM", "PHONETIC", "dm:en")
+    assert keys(e.execute("FT.SEARCH", "idx", "smith", "NOCONTENT")) == ["a", "b"]
+    assert keys(e.execute("FT.SEARCH", "idx", "smith=>{$phonetic:false}", "NOCONTENT")) == ["a"]
+    e.execute("FT.CONFIG", "SET", "MIN_PHONETIC_TERM_LEN", 6)
+    assert keys(e.execute("FT.SEARCH", "idx", "smith", "NOCONTENT")) == ["a"]
+
+
+def test_stems_of_other_languages():
+    assert [german(w) for w in ("aufeinander", "häuser", "katzen")] == ["aufeinand", "haus", "katz"]
+    assert [swedish(w) for w in ("klostergården", "friheten")] == ["klostergård", "frihet"]
+    assert [danish(w) for w in ("undersøgelserne", "husene")] == ["undersøg", "hus"]
+    assert [norwegian(w) for w in ("havnedistriktene", "friheten")] == ["havnedistrikt", "frihet"]
+    assert [spanish(w) for w in ("chicas", "torneos", "cheques")] == ["chic", "torne", "chequ"]
+
+
+def test_languages_by_index_by_field_and_by_query(spark):
+    e = Engine(spark)
+    e.register("words", spark.createDataFrame([("a", "katzen", "German"), ("b", "cats", "english"), ("c", "katzen", None)], "__key string, body string, lang string"))
+    e.execute("FT.CREATE", "idx", "ON", "words", "LANGUAGE", "english", "LANGUAGE_FIELD", "lang", "SCHEMA", "body", "TEXT")
+    assert keys(e.execute("FT.SEARCH", "idx", "katze", "LANGUAGE", "german", "NOCONTENT")) == ["a"]
+    assert keys(e.execute("FT.SEARCH", "idx", "cat", "NOCONTENT")) == []  # three letters have no stem
+    e.execute("FT.CONFIG", "SET", "MINSTEMLEN", 3)
+    assert keys(e.execute("FT.SEARCH", "idx", "cat", "NOCONTENT")) == ["b"]
+    e.execute("FT.CREATE", "de", "ON", "words", "LANGUAGE", "german", "SCHEMA", "body", "TEXT")
+    assert keys(e.execute("FT.SEARCH", "de", "katze", "NOCONTENT")) == ["a", "c"]
+
+
+def test_settings_that_change_results(fruits, spark):
+    e = Engine(spark)
+    e.register("lists", spark.createDataFrame([("a", ["red apple", "pie"])], "__key string, name array<string>"))
+    e.execute("FT.CREATE", "lists", "ON", "lists", "SCHEMA", "name", "TEXT", "NOSTEM")
+    near = ("FT.SEARCH", "lists", "apple pie", "SLOP", 5, "NOCONTENT")
+    assert keys(e.execute(*near)) == []
+    e.execute("FT.CONFIG", "SET", "MULTI_TEXT_SLOP", 5)
+    assert keys(e.execute(*near)) == ["a"]
+    fruits.execute("FT.CONFIG", "SET", "MAX_AGGREGATE_GROUPS", 3)
+    with pytest.raises(ExpressionError):
+        fruits.execute("FT.AGGREGATE", "idx", "*", "GROUPBY", 1, "@name")
+    fruits.execute("FT.CONFIG", "SET", "MAXAGGREGATERESULTS", 2)
+    assert fruits.execute("FT.AGGREGATE", "idx", "*").count() == 2
+    with pytest.raises(CommandError):
+        fruits.execute("FT.CONFIG", "SET", "NO_SUCH", 1)
+
+
+def test_a_query_that_takes_too_long_is_stopped(fruits):
+    assert len(fruits.rows("FT.SEARCH", "idx", "*", timeout_ms=60_000)) == 5
+    big = fruits.collections["fruits"].sparkSession.range(80_000_000).selectExpr("id AS __key", "id % 9999999 AS other", "'ring' AS name")
+    fruits.register("big", big)
+    fruits.execute("FT.CREATE", "big", "ON", "big", "SCHEMA", "name", "TEXT", "NOSTEM")
+    words = ("FT.AGGREGATE", "big", "ring", "GROUPBY", 1, "@other", "REDUCE", "COUNT", 0)
+    assert fruits.rows(*words, timeout_ms=300) == []
+    fruits.execute("FT.CONFIG", "SET", "ON_TIMEOUT", "FAIL")
+    with pytest.raises(CommandError):
+        fruits.rows(*words, timeout_ms=300)
+
+
+def test_temporary_indexes_go_when_they_are_not_used(fruits, monkeypatch):
+    from brindle.plans import commands
+
+    clock = [1000.0]
+    monkeypatch.setattr(commands.time, "time", lambda: clock[0])
+    fruits.execute("FT.CREATE", "brief", "ON", "fruits", "TEMPORARY", 10, "SCHEMA", "name", "TEXT")
+    clock[0] = 1008.0
+    assert fruits.execute("FT.SEARCH", "brief", "*", "LIMIT", 0, 0) == 5
+    clock[0] = 1016.0
+    assert "brief" in fruits.execute("FT._LIST")
+    clock[0] = 1030.0
+    assert "brief" not in fruits.execute("FT._LIST")
+
+
+def test_highlights_mark_stems_and_synonyms(fruits):
+    out = fruits.execute("FT.SEARCH", "idx", "apple", "HIGHLIGHT", "FIELDS", 1, "name", "LIMIT", 0, -1)
+    assert {r["__key"]: r.name for r in out.collect()} == {"c": "red <b>apple</b> pie", "d": "<b>apple</b>", "e": "the running <b>apples</b>"}
+    fruits.execute("FT.SYNUPDATE", "idx", "g", "citrus", "lemon")
+    assert [r.name for r in fruits.execute("FT.SEARCH", "idx", "citrus", "HIGHLIGHT").collect()] == ["<b>lemon</b>"]
+
+
+def test_many_writes_keep_the_plan_small(fruits):
+    for k in range(12):
+        fruits.execute("FT.ADD", "idx", f"k{k % 3}", 1.0, "REPLACE", "FIELDS", "name", f"grape {k}")
+    index = fruits.catalog.get("idx")
+    assert index.df._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    assert keys(fruits.execute("FT.SEARCH", "idx", "grape", "NOCONTENT")) == ["k0", "k1", "k2"]
+
+
+def test_collect_keeps_whole_rows_in_order_beyond_the_group_limit(spark):
+    from brindle.operators.pipeline import Pipeline
+
+    df = spark.range(3000).selectExpr("id AS __key", "id % 2 AS g", "IF(id % 7 = 0, NULL, -id) AS v", "'x' AS s")
+    args = ["FIELDS", "1", "@__key", "SORTBY", "2", "@v", "DESC", "LIMIT", "1", "1200"]
+    for n in (2, 1200):
+        args[-1] = str(n)
+        got = {r.g: [x["__key"] for x in r.c] for r in Pipeline(df, "__key").groupby(["@g"], [("COLLECT", args, "c"), ("COUNT", [], "n")]).df.collect()}
+        for g in (0, 1):
+            want = sorted((k for k in range(g, 3000, 2)), key=lambda k: (k % 7 == 0, k))[1 : 1 + n]
+            assert got[g] == want
+    plan = Pipeline(df, "__key").groupby([], [("COLLECT", args[:-1] + ["5"], "c")]).df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan or "TakeOrdered" in plan or "Limit" in plan
