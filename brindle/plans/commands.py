@@ -89,6 +89,7 @@ class Engine:
         self.temporary: dict[str, tuple[float, float]] = {}
         self.cursors: dict[int, Iterator] = {}
         self.cursor_of: dict[int, str] = {}
+        self.idle: dict[int, tuple[float, float]] = {}
         self.scorers, self.expanders = {}, {}
 
     def register(self, name: str, df: DataFrame) -> None:
@@ -255,7 +256,13 @@ class Engine:
         return "OK"
 
     def do_dropindex(self, w: Words):
-        self.catalog.drop(w.text())
+        """DROPINDEX idx [DD]: with DD its documents go too, from the engine's collections and not from where they are stored."""
+        name = w.text()
+        rows = self.catalog.get(name).df
+        self.catalog.drop(name)
+        self.writes.pop(name, None)
+        if w.has("DD"):
+            self.collections = {k: v for k, v in self.collections.items() if v is not rows}
         return "OK"
 
     do_drop = do_dropindex
@@ -294,7 +301,8 @@ class Engine:
         df = index.prepared()
         r = S.Retrieval(index, df)
         n, total = df.agg(F.count("*"), F.sum(doc_length(r))).first()
-        return {"index_name": index.name, "attributes": [{"identifier": f.path or f.name, "attribute": f.name, "type": f.type} for f in index.fields], "num_docs": n, "total_terms": total or 0}
+        options = {k: getattr(index, k) for k in ("key", "prefixes", "filter", "language", "language_field", "score", "score_field", "payload_field", "expire_field", "postings") if getattr(index, k)}
+        return {"index_name": index.name, "index_options": options, "stopwords_list": index.stopwords, "attributes": [{"identifier": f.path or f.name, "attribute": f.name, "type": f.type} for f in index.fields], "num_docs": n, "total_terms": total or 0, "doc_length_avg": (total or 0) / n if n else 0.0}
 
     # -- writes ----------------------------------------------------------------------------------------------------
 
@@ -518,10 +526,10 @@ class Engine:
             elif word == "SCORER":
                 scorer = rest.text()
             elif word == "WITHCURSOR":
-                self._cursor = 1000
+                self._cursor, self._idle = 1000, int(self.settings["CURSOR_MAX_IDLE"])
                 while inner := rest.has("COUNT", "MAXIDLE"):
                     n = rest.int()
-                    self._cursor = n if inner == "COUNT" else self._cursor
+                    self._cursor, self._idle = (n, self._idle) if inner == "COUNT" else (self._cursor, min(n, self._idle))
             elif word in ("LOAD", "APPLY", "FILTER", "GROUPBY", "SORTBY", "LIMIT"):
                 start = rest.i - 1
                 self._skip(word, rest)
@@ -570,9 +578,21 @@ class Engine:
             return out
         cid = max(self.cursors, default=0) + 1
         self.cursors[cid], self.cursor_of[cid] = pages(out, self._cursor), name
+        self.idle[cid] = self._idle / 1000, time.time()
         return self._page(cid)
 
+    def _idle_cursors(self) -> int:
+        """Ends the cursors that weren't read for longer than they may be."""
+        late = [cid for cid, (seconds, last) in self.idle.items() if time.time() - last > seconds]
+        for cid in late:
+            del self.idle[cid]
+            self.cursors.pop(cid, None)
+        return len(late)
+
     def _page(self, cid: int):
+        self._idle_cursors()
+        if cid in self.idle:
+            self.idle[cid] = self.idle[cid][0], time.time()
         if cid not in self.cursors:
             raise CommandError(f"no cursor {cid}")
         page = next(self.cursors[cid], None)
@@ -584,7 +604,7 @@ class Engine:
     def do_cursor(self, w: Words):
         word, _, = w.text().upper(), w.text()
         if word == "GC":
-            return 0
+            return self._idle_cursors()
         cid = w.int()
         if word == "READ":
             return self._page(cid)

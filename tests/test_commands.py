@@ -227,3 +227,43 @@ def test_collect_keeps_whole_rows_in_order_beyond_the_group_limit(spark):
             assert got[g] == want
     plan = Pipeline(df, "__key").groupby([], [("COLLECT", args[:-1] + ["5"], "c")]).df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "TakeOrdered" in plan or "Limit" in plan
+
+
+def test_cursors_end_when_they_are_not_read(fruits, monkeypatch):
+    from brindle.plans import commands
+
+    clock = [1000.0]
+    monkeypatch.setattr(commands.time, "time", lambda: clock[0])
+    _, cid = fruits.execute("FT.AGGREGATE", "idx", "*", "WITHCURSOR", "COUNT", 1, "MAXIDLE", 5000)
+    clock[0] = 1004.0
+    assert len(fruits.execute("FT.CURSOR", "READ", "idx", cid)[0]) == 1
+    clock[0] = 1010.0
+    with pytest.raises(CommandError):
+        fruits.execute("FT.CURSOR", "READ", "idx", cid)
+
+
+def test_info_and_dropping_documents(fruits):
+    info = fruits.execute("FT.INFO", "idx")
+    assert info["num_docs"] == 5 and info["doc_length_avg"] == info["total_terms"] / 5 and info["index_options"]["language"] == "english"
+    fruits.execute("FT.DROPINDEX", "idx", "DD")
+    assert "fruits" not in fruits.collections
+
+
+def test_a_live_table_writes_what_a_batch_touches(spark, tmp_path):
+    from brindle.streaming.upserts import LiveTable
+
+    table = LiveTable(spark, str(tmp_path / "t"), "k", "v", "gone", buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long, body string, gone boolean")
+    table.apply(rows(*[(k, 1, "a", False) for k in range(40)]), 0)
+    first = table._current()[1]
+    table.apply(rows((3, 2, "b", False), (3, 1, "old", False), (4, 2, None, True)), 1)
+    table.apply(rows((3, 9, "again", False)), 1)  # the batch came before
+    now = table._current()[1]
+    assert sum(first[b] == now.get(b) for b in first) >= 6
+    got = {r.k: r.body for r in table.read().collect()}
+    assert len(got) == 39 and got[3] == "b" and 4 not in got and got[5] == "a"
+    table.apply(rows(*[(k, 3, None, True) for k in range(40)]), 2)
+    assert table._current()[1] == {}
+    table.apply(rows((7, 4, "c", False)), 3)
+    assert [(r.k, r.body) for r in table.read().collect()] == [(7, "c")]
+    assert table.clean(keep=1) == 3 and table.read().count() == 1
