@@ -10,7 +10,8 @@ and replacing `<||` by `<|` gives the text back. (`<||` in a text becomes `<|||`
 
 Defined results. Null text: empty. Null role: the empty role. Turns are ordered by (turn, role, text), null turns
 first, so ties and repeated rows are kept in a fixed order. A null conv_id is one more conversation. An empty
-table gives an empty table. Other columns of the input are not read.
+table gives an empty table. Other columns of the input are not read, whatever their names. Very long conversations: all turns
+of one meet in one task, whose row holds them; what a task collects before the shuffle is at most its own rows.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ EXACT, NARROW = 16, 128
 WIDE = EXACT + 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SECOND = np.uint64(0xD1B54A32D192ED03)
-_WORDS = WordHashes(1_000_000)
+_WORDS = WordHashes(300_000)
 
 
 def vector(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:

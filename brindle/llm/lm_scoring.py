@@ -36,8 +36,9 @@ from .ledger import ASKED, ASKED_DDL, FAN_BITS, Ledger, asking, expand, expand_s
 PARTS, SCORED_ONLY, HELD = 7, 2, 3
 TEST, HELD_OUT, TRAIN = 0, 1, 2
 BATCH_BYTES = 8 << 20
+BLOCK = 1 << 17
 BUCKETS, GRID = 24, 8
-_WORDS = WordHashes(1_000_000)
+_WORDS = WordHashes(300_000)
 _ONE, PAIR = np.uint64(1), np.uint64(1 << 63)
 END = np.uint64(_WORDS[b"\n"]) >> _ONE
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -125,16 +126,23 @@ def _stats(columns: list[np.ndarray]) -> list[int]:
 COUNTS = Ledger(values=(np.uint64, np.uint64), answers=(np.uint64, np.uint64), merge=_sums, decide=lambda columns: columns[1:], stats=_stats)
 
 
-def _resolved(tokens: pa.Table, told: pa.Table):
-    """One batch with its counts: (row, lengths, c(w), c(h), c(h w)) for each token, each as (training, held-out)."""
-    r = tokens.to_pylist()[0]
-    words, toks, lengths = expand_sorted(r["words"]), expand(r["tokens"], np.uint32), expand(r["lengths"], np.uint32)
-    got = [x.astype(np.float64) for x in gathered(told, COUNTS)]
-    pairs, before = _pairs(words, toks, lengths)
-    place = np.unique(pairs, return_inverse=True)[1] + len(words)
-    end = int(np.searchsorted(words, END))
-    h = np.where(before < 0, end, before)
-    return r, lengths, [x[toks] for x in got], [x[h] for x in got], [x[place] for x in got]
+class Resolved:
+    """One batch with the counts of its n-grams, and for each token the places of w, h and h w among them."""
+
+    def __init__(self, tokens: pa.Table, told: pa.Table):
+        self.row = r = tokens.to_pylist()[0]
+        words, self.w = expand_sorted(r["words"]), expand(r["tokens"], np.uint32)
+        self.lengths = expand(r["lengths"], np.uint32)
+        self.train, self.held = gathered(told, COUNTS)
+        pairs, before = _pairs(words, self.w, self.lengths)
+        self.h = np.where(before < 0, np.searchsorted(words, END), before).astype(np.uint32)
+        self.hw = (np.unique(pairs, return_inverse=True)[1] + len(words)).astype(np.uint32)
+
+    def blocks(self, counts: np.ndarray):
+        """(range of tokens, c(w), c(h), c(h w)), some tokens at a time, so that a batch's estimates take little memory."""
+        for lo in range(0, len(self.w), BLOCK):
+            at = slice(lo, min(lo + BLOCK, len(self.w)))
+            yield at, *(counts[x[at]].astype(np.float64) for x in (self.w, self.h, self.hw))
 
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
@@ -152,13 +160,16 @@ STEPS2, ONE2, STEPS1, ONE1 = 512, 160, 64, 31
 
 
 def _cells(v: int, n: int):
+    # step 0: no such n-gram
+    grid = lambda f, f0, steps, one: np.where(f > 0, np.clip(np.round(GRID * np.log2(np.maximum(f, 1e-300) / f0)) + one, 1, steps - 1), 0).astype(np.int64)
+
     def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
-        _, _, w, h, hw = _resolved(tokens, told)
-        f2, f1, f0 = _estimates(w[0], h[0], hw[0], v, n)
-        # step 0: no such n-gram
-        grid = lambda f, steps, one: np.where(f > 0, np.clip(np.round(GRID * np.log2(np.maximum(f, 1e-300) / f0)) + one, 1, steps - 1), 0).astype(np.int64)
-        key = (bucket_of(h[0]) * STEPS2 + grid(f2, STEPS2, ONE2)) * STEPS1 + grid(f1, STEPS1, ONE1)
-        cells, times = np.unique(key, return_counts=True)
+        batch = Resolved(tokens, told)
+        found = []
+        for _, w, h, hw in batch.blocks(batch.train):
+            f2, f1, f0 = _estimates(w, h, hw, v, n)
+            found.append(np.unique((bucket_of(h) * STEPS2 + grid(f2, f0, STEPS2, ONE2)) * STEPS1 + grid(f1, f0, STEPS1, ONE1), return_counts=True))
+        cells, times = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"cell": pa.array(cells, pa.int64()), "times": pa.array(times, pa.int64())})
 
     return run
@@ -186,15 +197,18 @@ SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_
 
 def _score(v: int, n: int, weights: np.ndarray):
     def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
-        r, lengths, w, h, hw = _resolved(tokens, told)
-        w, h, hw = (x[0] + x[1] for x in (w, h, hw))
-        f2, f1, f0 = _estimates(w, h, hw, v, n)
-        by = weights[bucket_of(h)]
-        starts = np.concatenate([[0], np.cumsum(lengths[:-1], dtype=np.int64)])
+        batch = Resolved(tokens, told)
+        size = len(batch.w)
+        base, score, known = np.empty(size), np.empty(size), np.empty(size, np.int64)
+        for at, w, h, hw in batch.blocks(batch.train + batch.held):
+            f2, f1, f0 = _estimates(w, h, hw, v, n)
+            by = weights[bucket_of(h)]
+            base[at], known[at] = np.log10(f0), w > 0
+            score[at] = np.log10(by[:, 0] * f2 + by[:, 1] * f1 + by[:, 2] * f0)
+        starts = np.concatenate([[0], np.cumsum(batch.lengths[:-1], dtype=np.int64)])
         add = lambda x: np.add.reduceat(x, starts)
-        base, score = add(np.log10(f0)), add(np.log10(by[:, 0] * f2 + by[:, 1] * f1 + by[:, 2] * f0))
         k = len(starts)
-        return pa.Table.from_pydict({"doc_id": r["doc_ids"], "held_out": [r["cls"] == TEST] * k, "n_tokens": lengths.astype(np.int64), "n_known": add((w > 0).astype(np.int64)), "train_tokens": [n] * k, "base_score": base, "score": score}, schema=SCORES)
+        return pa.Table.from_pydict({"doc_id": batch.row["doc_ids"], "held_out": [batch.row["cls"] == TEST] * k, "n_tokens": batch.lengths.astype(np.int64), "n_known": add(known), "train_tokens": [n] * k, "base_score": add(base), "score": add(score)}, schema=SCORES)
 
     return run
 

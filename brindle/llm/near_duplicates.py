@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bounded, discard, free_name, maybe_broadcast, mixed, shingles, stored, words_of
 from .components import components
 
-_WORDS = WordHashes(1_000_000)
+_WORDS = WordHashes(300_000)
 
 
 def shingle_set(text: str | bytes | None, width: int) -> np.ndarray:

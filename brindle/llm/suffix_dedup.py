@@ -9,11 +9,11 @@ documents share costs one entry a batch of documents:
    last one's end).
 2. Runs whose context occurs twice or more are repeated as a whole. Runs whose anchor occurs nowhere else are not
    repeated at all. What is left are the edges of repeats.
-3. There the windows themselves are asked about, by two hashes of their 200 bytes; one run of each repeated context with
+3. There the windows themselves are asked about, by hashes of 64 and 32 bits of their 200 bytes; one run of each repeated context with
    such neighbours takes part, so that edges meet it.
 4. A document's repeated windows give its spans, and these are cut out.
 
-Runs and windows are equal where two 64-bit hashes are, an anchor's and its context's or two of a window, and rows by 128 bits. The
+Runs are equal where two 64-bit hashes are, an anchor's and its context's, windows by 96 bits, and rows by 128. The
 suffix-array form of this operator, external induced sorting, is in suffix_external; the README says why the query
 doesn't run it over every byte.
 
@@ -289,7 +289,7 @@ def _collect_windows(batch_bytes: int):
                     for at in range(a, z, SLICE):
                         piece = data[at : min(at + SLICE, z) + LENGTH - 1]
                         h = window_hashes(piece)
-                        found.append((h, window_hashes(piece, _T2), np.full(len(h), len(keys)), np.arange(at, at + len(h))))
+                        found.append((h, window_hashes(piece, _T2) >> _S32, np.full(len(h), len(keys)), np.arange(at, at + len(h))))
                         size += len(h)
                 keys.append(key)
                 if size >= batch_bytes // 16:

@@ -425,7 +425,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     for _ in range(40):
         texts.append(" ".join(rng.choice(stop) if rng.random() < 0.3 else f"word{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))))
     shared = " ".join(f"common{i}" for i in range(40))
-    texts += [t + " " + shared for t in texts[:5]] + [texts[7], texts[8] + " end", None, "", "short"]
+    long = " ".join(rng.choice(stop) if rng.random() < 0.3 else f"long{rng.randrange(9000)}" for _ in range(5000))
+    texts += [t + " " + shared for t in texts[:5]] + [texts[7], texts[8] + " end", None, "", "short", long, long + " " + shared]
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
