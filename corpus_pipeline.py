@@ -1,4 +1,10 @@
-"""From documents to packed sequences: quality rules, near-duplicates, repeated passages, packing."""
+"""From documents to packed sequences: quality rules, near-duplicates, repeated passages, packing.
+
+Defined results. Null, empty and short texts fail the quality rules and go. Repeated rows, and rows of a null doc_id with
+near texts, leave one of them; other texts under one doc_id stay. Ties: the smallest doc_id stays, a null one last. Documents of
+which the repeats stage leaves nothing stay, as an end token. Very long texts pass whole through all stages. Columns
+besides doc_id, text, source and n_chars pass through under any names until packing, which gives its own. An empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
