@@ -1,9 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash, the sum of wide vectors hashed from paragraphs.
 
-A paragraph (a line with a word) gives one vector: 16 lanes of 64 bits from SHAKE-256 of its words, one lane that counts
+A paragraph (a line with a word) gives one vector: 8 lanes of 64 bits from SHAKE-256 of its words, one lane that counts
 paragraphs, and 128 lanes of 32 bits, each the sum of +1 or -1 hashed from the 3-word windows that end in the
 paragraph. (A sum modulo 2^64 in few lanes is forged by finding paragraphs whose vectors add up to 0; so the exact part
-is 1024 bits wide.) A fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^32; a text that
+is 512 bits wide.) A fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^32; a text that
 fits a column has fewer windows than would wrap a lane. So it doesn't depend on their
 order, equal multisets of paragraphs have equal fingerprints, and a paragraph is put in or taken out by adding or
 subtracting its vector (add, remove). The narrow lanes u, v of two documents estimate how much they share:
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bounded, mixed, stored
 
-EXACT, NARROW = 16, 128
+EXACT, NARROW = 8, 128
 WIDE = EXACT + 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SECOND = np.uint64(0xD1B54A32D192ED03)
@@ -38,7 +38,7 @@ _WORDS = WordHashes(300_000)
 
 
 def vector(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(wide lanes uint64[17], narrow lanes uint32[128]) of a text."""
+    """(wide lanes uint64[9], narrow lanes uint32[128]) of a text."""
     wide, narrow = np.zeros(WIDE, np.uint64), np.zeros(NARROW, np.uint32)
     if not text:
         return wide, narrow
