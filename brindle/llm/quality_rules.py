@@ -81,8 +81,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     m = F.col("__marks")
     covered = F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.lit(0), lambda acc, j: acc + F.least(F.lit(3), F.coalesce(F.get(m, j + 1) - F.get(m, j), F.lit(3))))).otherwise(0)
     stop = F.filter(F.transform("__words", lambda x: F.lower(x)), lambda x: x.isin(STOP_WORDS))
-    return base.select(
-        *[F.col(names[c]).alias(c) for c in kept if c.lower() not in (*MEASURES, "base_failed", "kept")],
+    made = F.struct(
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length("__body") - F.length(F.translate("__body", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -91,6 +90,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         F.size(stop).cast("long").alias("n_stop_words"),
     )
+    # A filter on a measure is not pushed below inline(). Below the projections it would put the arrays' expressions into the
+    # lambdas over them and compute them again for each of their elements.
+    return base.select(*[F.col(names[c]).alias(c) for c in kept if c.lower() not in (*MEASURES, "base_failed", "kept")], F.inline(F.array(made)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
@@ -119,13 +121,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with the columns they came with (measure names in the input are kept aside).
-
-    The verdict goes through explode(): a filter straight on it would be pushed below the projections, which puts the
-    arrays' expressions into the lambdas over them and computes them again for each of their elements.
-    """
+    """The documents that pass, with the columns they came with (measure names in the input are kept aside)."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return judge(packed, rules).select("row", F.explode(F.array("kept")).alias("passed")).where("passed").select("row.*")
+    return judge(packed, rules).where("kept").select("row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

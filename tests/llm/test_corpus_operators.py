@@ -408,6 +408,7 @@ def test_quality_filters_long_documents_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, N_Words long, row string, kept boolean")
     kept = quality_rules.filter_documents(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0, r.N_Words or 0) for r in kept.collect()) == [(0, 0), (1, 5)]
+    assert {r.doc_id for r in quality_rules.judge(df).where("kept and n_repeat_words < 5000").collect()} == {1, None}
     judged = {r.doc_id: r for r in quality_rules.judge(df).collect()}
     assert judged[1].n_words == 6000 and judged[1].kept and not judged[2].kept and "N_Words" not in judged[1]
     assert quality_rules.filter_documents(df.where("false")).count() == 0 == quality_rules.judge(df.where("false")).count()
