@@ -9,8 +9,8 @@ from ..plans.catalog import IndexDef
 
 BUCKETS = 64
 STEM = "\x01"
-#: a query's candidates are broadcast up to so many keys; with more, the collection is read without them
-MOST_CANDIDATES = 1_000_000
+#: a query's candidates are broadcast up to so many keys and bytes; with more, the collection is read without them
+MOST_CANDIDATES, MOST_BYTES = 1_000_000, 32 << 20
 
 
 def postings(index: IndexDef, stems: bool = False) -> DataFrame:
@@ -47,6 +47,12 @@ def write_postings(index: IndexDef, path: str, buckets: int = BUCKETS) -> None:
     doc_stats(index).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether a table of __key may be broadcast, by its counted rows and bytes."""
+    n, size = keys.agg(F.count("*"), F.sum(F.octet_length(F.col("__key").cast("string")))).first()
+    return n <= MOST_CANDIDATES and (size or 0) + 16 * n <= MOST_BYTES
+
+
 class Postings:
     """Written postings as a query reads them: candidates for its tree, and the statistics of its leaves."""
 

@@ -15,7 +15,7 @@ from ..plans import query_language as q
 from ..plans.catalog import IndexDef
 from . import scoring
 from .pipeline import Pipeline
-from .postings import MOST_CANDIDATES, Postings
+from .postings import Postings, few
 from .retrieval import Options, Retrieval, simplify, terms_of
 from .vector import normalized
 
@@ -83,7 +83,7 @@ def retrieve(index: IndexDef, query: Query | str) -> Hits:
     if index.postings:
         kept = Postings(df.sparkSession, index.postings)
         near = kept.candidates(r, node)
-        if near is not None and near.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES:
+        if near is not None and few(near):
             found = index.prepared(near)
     cheap = r.needed(node)
     found = found.where(r.match(node) if cheap is None else cheap & r.match(node))
@@ -188,6 +188,8 @@ def aggregate(index: IndexDef, query: Query | str, add_scores: bool = False, sco
     return Pipeline(df, "__key", hits.functions, strict)
 
 
+#: rows of a hybrid result that are broadcast to fetch their documents
+MOST_WINDOWS = 100_000
 RRF_CONSTANT, WINDOW, ALPHA, BETA, KNN_K = 60.0, 20, 0.3, 0.7, 10
 
 
@@ -253,5 +255,5 @@ def hybrid(
     out = out.select("__key", *keep)
     docs = visible(index.source()).drop("__score")
     # at most two windows of rows
-    joined = docs.join(F.broadcast(out) if 2 * window <= MOST_CANDIDATES else out, "__key")
+    joined = docs.join(F.broadcast(out) if 2 * window <= MOST_WINDOWS else out, "__key")
     return Pipeline(joined.orderBy(F.col(score_alias).desc(), F.col("__key").asc()), "__key", hits.functions)
