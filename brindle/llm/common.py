@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,43 @@ def bounded(batch: pa.RecordBatch, rows: int = 4096, most: int = 8 << 20) -> Ite
         yield batch
 
 
+@contextmanager
+def short_batches(spark: SparkSession, most: int = 2 << 20) -> Iterator[None]:
+    """What is written meanwhile goes to Python in Arrow batches that end after so many bytes, where no such bound is set.
+
+    By rows alone, a batch is all that a task reads of wide rows, and the executor holds it in buffers of powers of two.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system; it would stay with a worker that waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A mapInArrow function that calls release() at its task's end."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def by_rows(fn: Callable[[dict], Iterator[dict] | list], schema: pa.Schema, rows: int = 4096, most: int = 8 << 20) -> Callable:
     """A mapInArrow function: fn gets the columns of bounded() parts as lists and yields dicts of output columns."""
 

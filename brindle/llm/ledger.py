@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, stored
+from .common import discard, mixed, released, stored
 
 FAN_BITS = 8
 
@@ -177,16 +177,25 @@ def gathered(told: pa.Table, ledger: Ledger) -> list[np.ndarray]:
     return [np.concatenate([expand_small(r["answers"][j], t) for r in rows] or [np.zeros(0, t)]) for j, t in enumerate(ledger.answers)]
 
 
-def resolve(asked: DataFrame, n: int, ledger: Ledger, fan_bits: int = FAN_BITS, done: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+def resolve(asked: DataFrame, n: int, ledger: Ledger, fan_bits: int = FAN_BITS, done: int = 0, ask: Callable | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(batch, bucket, answers, stats) from asked (batch, keys, values), and the stored tables that it reads.
 
-    n: how many batches of a size that fits a task the keys make. stats come in rows without a batch.
+    n: how many batches of a size that fits a task the keys make. stats come in rows without a batch. ask: makes the record
+    batches of asked from those of the table given in its place. It runs in the worker that splits them: one mapInArrow
+    after another takes two workers a task, and these stay for the stages that follow.
     """
+
+    def dealt(bits: int, groups: int) -> DataFrame:
+        split = _split(ledger, done, bits, groups)
+        if ask is None:
+            return asked.select("batch", "keys", "values").mapInArrow(released(split), ROWS_DDL)
+        return asked.mapInArrow(released(lambda batches: split(ask(batches))), ROWS_DDL)
+
     if n <= 1 << fan_bits:
-        rows = asked.select("batch", "keys", "values").mapInArrow(_split(ledger, done, max(3, n.bit_length()), 1), ROWS_DDL)
+        rows = dealt(max(3, n.bit_length()), 1)
         return rows.groupBy("bucket").applyInArrow(_final(ledger), TOLD_DDL), []
     groups = -(-n // (1 << fan_bits))
-    rows = stored(asked.select("batch", "keys", "values").mapInArrow(_split(ledger, done, fan_bits, groups), ROWS_DDL), "ledger-rows")
+    rows = stored(dealt(fan_bits, groups), "ledger-rows")
     merged = stored(rows.groupBy("bucket", "up").applyInArrow(_up(ledger), ASKED_DDL), "ledger-merged")
     told, below = resolve(merged, groups, ledger, fan_bits, done + fan_bits)
     told = stored(told, "ledger-told")

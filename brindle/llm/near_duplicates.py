@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, discard, free_name, maybe_broadcast, mixed, shingles, stored, words_of
+from .common import WordHashes, bounded, discard, free_name, maybe_broadcast, mixed, released, shingles, stored, words_of
 from .components import components
 
 _WORDS = WordHashes(300_000)
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> Dat
                     out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return stored(docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>"), "nd-signatures")
+    return stored(docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, bands array<long>"), "nd-signatures")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in cols["text"]]
             yield pa.RecordBatch.from_pydict({"doc_id": cols["doc_id"], "size": [len(r) for r in raw], "text": [pa.compress(r, codec="zstd", asbytes=True) for r in raw]}, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, size long, text binary")
+    return docs.mapInArrow(released(run), "doc_id long, size long, text binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                     out_b.append(b)
             yield pa.RecordBatch.from_pydict({"a": out_a, "b": out_b}, schema=schema)
 
-    links = stored(both.select("a", "b", "size_a", "text_a", "size_b", "text_b").mapInArrow(run, "a long, b long"), "nd-links")
+    links = stored(both.select("a", "b", "size_a", "text_a", "size_b", "text_b").mapInArrow(released(run), "a long, b long"), "nd-links")
     discard(ids)
     discard(texts)
     return links
@@ -157,7 +157,7 @@ def prefix_pairs(open_: DataFrame, docs: DataFrame, width: int, percent: int) ->
                 yield pa.RecordBatch.from_pydict({"rep": np.full(len(s), rep), "comp": np.full(len(s), comp), "set": np.full(len(s), key), "n": np.full(len(s), len(s)), "token": s.view(np.int64)}, schema=schema)
 
     texts = docs.join(maybe_broadcast(open_, 24), F.col("doc_id") == F.col("rep")).select("rep", "comp", "text")
-    tokens = stored(texts.mapInArrow(run, "rep long, comp long, set long, n long, token long"), "nd-tokens")
+    tokens = stored(texts.mapInArrow(released(run), "rep long, comp long, set long, n long, token long"), "nd-tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
     order = F.sort_array(F.collect_list(F.struct("times", "token")))  # of one document: no longer than its set
     sets = tokens.join(shared, "token").groupBy("rep", "comp", "set", "n").agg(order.alias("tokens"))

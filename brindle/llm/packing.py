@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_tree import default_path
-from .common import bounded, maybe_broadcast, stored
+from .common import bounded, maybe_broadcast, released, stored
 from .tokenizer_files import encoder
 
 WINDOW = 4096
@@ -213,7 +213,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ids.append(x.astype("<u2").tobytes() if narrow else x.tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": cols["doc_id"], "queue": cols["queue"], "chunk": [chunk] * len(ns), "before": before, "n": ns, "ids": ids}, schema=schema)
 
-    return stored(rows.mapInArrow(run, "doc_id long, queue string, chunk long, before long, n long, ids binary"), "packing-ids")
+    return stored(rows.mapInArrow(released(run), "doc_id long, queue string, chunk long, before long, n long, ids binary"), "packing-ids")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, window: int = WINDOW, most_queues: int | None = None, **columns) -> DataFrame:
@@ -245,7 +245,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str,
                     out, size = {f.name: [] for f in schema}, 0
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")
+    return placed.mapInArrow(released(run), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, discard, free_name, mixed, stored
-from .ledger import ASKED, ASKED_DDL, FAN_BITS, Ledger, asking, expand, expand_sorted, gathered, resolve, squeeze, squeeze_sorted
+from .common import BROADCAST_BYTES, bounded, discard, free_name, mixed, released, short_batches, stored
+from .ledger import ASKED, FAN_BITS, Ledger, asking, expand, expand_sorted, gathered, resolve, squeeze, squeeze_sorted
 
 LENGTH = 200
 GRAM = 100
 SLICE = 1 << 19
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _T, _T2 = (np.random.default_rng(k).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (11, 12))
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -304,7 +304,7 @@ def _collect_windows(batch_bytes: int):
 
 def _asked(runs: DataFrame, keys_bytes: int, decide, batch_bytes: int, fan_bits: int) -> DataFrame:
     """Each batch's decisions on its runs after the ledger's answers; written to the shared folder."""
-    told, read = resolve(runs.select("batch", "keys", "contexts").mapInArrow(_ask, ASKED_DDL), keys_bytes // batch_bytes, REPEATS, fan_bits)
+    told, read = resolve(runs.select("batch", "keys", "contexts"), keys_bytes // batch_bytes, REPEATS, fan_bits, ask=_ask)
     decided = stored(runs.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(decide, SPANS_DDL), "sd-decided")
     for t in (runs, *read):
         discard(t)
@@ -314,20 +314,21 @@ def _asked(runs: DataFrame, keys_bytes: int, decide, batch_bytes: int, fan_bits:
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_key, doc_id, text (binary), spans (binary: pairs of unsigned 32-bit offsets, maximal and in order, or null)."""
     base = keyed(docs, id_col, text_col)
-    runs = stored(base.select("doc_key", "text").mapInArrow(_collect_runs(batch_bytes), RUNS_DDL), "sd-runs")
-    size = runs.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
-    decided = _asked(runs, size, _decide, batch_bytes, fan_bits)
-    # copies of a row in several batches may stand for different runs of it: all their intervals are asked about
-    lists = decided.where("todo is not null").groupBy("doc_key").agg(F.collect_set("todo").alias("lists"))
-    todo = lists.select("doc_key", F.aggregate("lists", F.lit(b""), lambda x, y: F.concat(x, y)).alias("todo"))
-    edges = base.select("doc_key", "text").join(_sized(todo, "todo"), "doc_key")
-    windows = stored(edges.mapInArrow(_collect_windows(batch_bytes), RUNS_DDL), "sd-windows")
-    size = windows.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
-    more = _asked(windows, size, _decide_windows, batch_bytes, fan_bits)
-    both = decided.where("spans is not null").select("doc_key", "spans").unionByName(more.where("spans is not null").select("doc_key", "spans"))
-    spans = stored(both.groupBy("doc_key").applyInArrow(_merge, "doc_key binary, spans binary"), "sd-spans")
-    discard(decided)
-    discard(more)
+    with short_batches(docs.sparkSession):
+        runs = stored(base.select("doc_key", "text").mapInArrow(released(_collect_runs(batch_bytes)), RUNS_DDL), "sd-runs")
+        size = runs.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
+        decided = _asked(runs, size, _decide, batch_bytes, fan_bits)
+        # copies of a row in several batches may stand for different runs of it: all their intervals are asked about
+        lists = decided.where("todo is not null").groupBy("doc_key").agg(F.collect_set("todo").alias("lists"))
+        todo = lists.select("doc_key", F.aggregate("lists", F.lit(b""), lambda x, y: F.concat(x, y)).alias("todo"))
+        edges = base.select("doc_key", "text").join(_sized(todo, "todo"), "doc_key")
+        windows = stored(edges.mapInArrow(released(_collect_windows(batch_bytes)), RUNS_DDL), "sd-windows")
+        size = windows.agg(F.sum(F.octet_length("keys") + F.octet_length("contexts"))).first()[0] or 0
+        more = _asked(windows, size, _decide_windows, batch_bytes, fan_bits)
+        both = decided.where("spans is not null").select("doc_key", "spans").unionByName(more.where("spans is not null").select("doc_key", "spans"))
+        spans = stored(both.groupBy("doc_key").applyInArrow(_merge, "doc_key binary, spans binary"), "sd-spans")
+        discard(decided)
+        discard(more)
     return base.join(_sized(spans, "spans"), "doc_key", "left")
 
 
@@ -401,4 +402,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return rows.select(*names, cuts).mapInArrow(run, ddl)
+    return rows.select(*names, cuts).mapInArrow(released(run), ddl)

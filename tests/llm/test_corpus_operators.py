@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe_tree, fingerprints, ledger, lm_scoring, near_duplicates, packing, quality_rules, suffix_dedup, token_counts
+from brindle.llm import bpe_tree, common, fingerprints, ledger, lm_scoring, near_duplicates, packing, quality_rules, suffix_dedup, token_counts
 from brindle.llm.tokenizer_files import encoder
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -347,6 +347,45 @@ def test_a_ledger_sends_no_more_rows_than_batches_times_the_fan(spark, monkeypat
     assert kept is not None and sum(rows[16]) <= 3 * sum(rows[8])
 
 
+def test_a_task_of_the_repeats_takes_one_python_worker(spark, monkeypatch):
+    """One mapInArrow after another would take two a task."""
+    kept, plans = suffix_dedup.resolve, []
+
+    def seen(*args, **named):
+        out = kept(*args, **named)
+        plans.append(out[0]._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "resolve", seen)
+    suffix_dedup.with_spans(frame(spark, corpus(3, 20))).collect()
+    assert len(plans) == 2 and all(p.count("MapInArrow") == 1 for p in plans)
+
+
+def test_the_repeats_reach_python_in_short_batches(spark, monkeypatch):
+    name, seen, kept = "spark.sql.execution.arrow.maxBytesPerBatch", [], suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, to: (seen.append(spark.conf.get(name, None)), kept(df, to))[1])
+    suffix_dedup.with_spans(frame(spark, corpus(3, 20)))
+    assert set(seen) == {str(2 << 20)} and spark.conf.get(name, None) is None
+
+
+def test_a_task_gives_back_what_it_freed():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    last = []
+
+    def fn(batches):
+        some = [random.randbytes(1000) for _ in range(100_000)]
+        last.append(random.randbytes(1000))  # above the others, so they'd stay
+        yield from batches
+        assert len(some) == 100_000
+
+    before = held()
+    assert list(common.released(fn)(iter([1, 2]))) == [1, 2]
+    assert held() - before < 50_000_000
+
+
 def test_weights_are_learned_and_help(spark):
     rng = random.Random(8)
     follows = {f"a{i}": f"b{i}" for i in range(50)}
