@@ -13,8 +13,8 @@ from .values import INF, NAN, Typed, number
 
 COLLECT_DEFAULT = 10
 SAMPLE_LIMIT = 1000
-#: precision of the distinct-count sketch, as log2 of its registers
-SKETCH_BITS = 8
+#: precision of the distinct-count sketch, as log2 of its registers: a standard error of 1.6 %
+SKETCH_BITS = 12
 
 
 def _name(arg: str) -> str:

@@ -93,6 +93,17 @@ def test_errors(fruits):
             fruits.execute("FT.SEARCH", "idx", text)
 
 
+def test_sketches_of_many_groups_are_all_near(spark):
+    e = Engine(spark)
+    rows = spark.range(250_000).selectExpr("concat('k', id) AS __key", "id % 500 AS g", "id AS v", "id % 1000 AS part")
+    e.register("rows", rows)
+    e.execute("FT.CREATE", "rows", "ON", "rows", "SCHEMA", "v", "NUMERIC")
+    by_g = ["GROUPBY", 1, "@g", "REDUCE"]
+    for words in ([*by_g, "COUNT_DISTINCTISH", 1, "@v", "AS", "n"], ["GROUPBY", 2, "@g", "@part", "REDUCE", "HLL", 1, "@v", "AS", "s", *by_g, "HLL_SUM", 1, "@s", "AS", "n"]):
+        counts = [r["n"] for r in e.execute("FT.AGGREGATE", "rows", "*", *words).collect()]
+        assert len(counts) == 500 and all(abs(n - 500) <= 50 for n in counts)
+
+
 def test_postings_score_as_a_scan_does(fruits, tmp_path, spark):
     e = Engine(spark)
     e.register("fruits", fruits.collections["fruits"])
