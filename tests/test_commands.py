@@ -5,7 +5,7 @@ import pytest
 from brindle.functions.analysis import phonetic, stem, tokens_of
 from brindle.functions.metaphone import double_metaphone
 from brindle.functions.stemmers import danish, german, norwegian, spanish, swedish
-from brindle.operators.postings import postings
+from brindle.operators.postings import STEM, Postings, postings, vocabulary
 from brindle.plans.commands import CommandError, Engine, ExpressionError
 from brindle.plans.query_language import QueryError
 
@@ -129,6 +129,29 @@ def test_postings_of_a_long_text_are_linear(spark):
     assert len(rows) == 5000 and all(r.positions == list(range(int(r.term[1:]) + 1, 40001, 5000)) and r.frequency == 8 for r in rows)
 
 
+def test_postings_deal_out_no_tokens(spark, tmp_path):
+    """Tokens are grouped where they are read: nothing is dealt out, and fields, stems by language, odd texts and repeated keys come out right."""
+    rows = [("a", "Running \\\\x runs running", "heating", "english"), ("b", None, "häuser heating", "german"), ("c", "the , a", "", None), ("d", "x" * 50_000 + " y", "running", "klingon")]
+    e = Engine(spark)
+    e.register("two", spark.createDataFrame(rows, "__key string, t string, u string, l string"))
+    e.execute("FT.CREATE", "two", "ON", "two", "LANGUAGE_FIELD", "l", "SCHEMA", "t", "TEXT", "WEIGHT", 2, "u", "TEXT")
+    made = postings(e.catalog.get("two"), stems=True)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    found = {(r.term, r.field, r["__key"]): (r.frequency, r.positions) for r in made.collect()}
+    assert found["running", "t", "a"] == (4, [1, 4]) and found[STEM + "run", "t", "a"] == (6, [1, 3, 4])
+    assert found["\\x", "t", "a"] == (2, [2]) and found["x" * 50_000, "t", "d"] == (2, [1])
+    assert (STEM + "heat", "u", "a") in found and (STEM + "heat", "u", "b") not in found and (STEM + "running", "u", "d") in found
+    assert not any(k == "c" for _, _, k in found)
+    e.execute("FT.POSTINGS", "two", str(tmp_path / "p"), "BUCKETS", 3)
+    stats = {r["__key"]: r["length"] for r in Postings(spark, str(tmp_path / "p")).stats.collect()}
+    assert stats == {"a": 9, "b": 2, "c": 0, "d": 5}
+    e.register("again", e.collections["two"].unionByName(e.collections["two"]))
+    e.execute("FT.CREATE", "again", "ON", "again", "SCHEMA", "t", "TEXT")
+    (twice,) = [r for r in postings(e.catalog.get("again")).collect() if r.term == "running"]
+    assert (twice.frequency, twice.positions) == (4, [1, 1, 4, 4])
+    assert {(r.term, r.documents, r.occurrences) for r in vocabulary(e.catalog.get("again")).collect() if len(r.term) < 9} == {("running", 1, 4), ("runs", 1, 2), ("\\x", 1, 2), ("y", 1, 2)}
+
+
 def test_analysis():
     assert tokens_of("Hello, the (World)! foo\\-bar") == ["hello", "world", "foo-bar"]
     assert [stem(w) for w in ("running", "flies", "nationally", "hopping", "generously")] == ["run", "fli", "nation", "hop", "generous"]
